@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from schemaloom.llm import license_scan
+from schemaloom.llm import license_scan, quality_rules, simhash_dedup
 
-QUERIES = {**license_scan.QUERIES}
-ORACLES: dict[str, str] = {}
+MODULES = (license_scan, simhash_dedup, quality_rules)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
