@@ -6,6 +6,7 @@ named by ``spark.checkpoint.dir``, which every executor shares.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, keep_partitions: bool = False) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -42,6 +43,20 @@ def materialise(df: DataFrame, keep_partitions: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, once nothing reads it any more, and let Spark drop
+    the shuffle files of plans that are no longer referenced."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    home = shared_dir(spark)
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if path.replace("file:///", "file:/").startswith(home.replace("file:///", "file:/")):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str | StructType) -> DataFrame:
     """One output row per input row. ``make()`` runs once per task and returns a function that takes
     the row's values (strings as UTF-8 bytes, null as None) and returns a tuple in ``schema`` order."""
