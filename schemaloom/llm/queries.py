@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from schemaloom.llm import license_scan, quality_rules, simhash_dedup, substring_dedup
+from schemaloom.llm import byte_bpe, license_scan, quality_rules, simhash_dedup, substring_dedup
 
-MODULES = (license_scan, simhash_dedup, substring_dedup, quality_rules)
+MODULES = (license_scan, byte_bpe, simhash_dedup, substring_dedup, quality_rules)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
