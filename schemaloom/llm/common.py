@@ -7,6 +7,7 @@ named by ``spark.checkpoint.dir``, which every executor shares.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,26 +36,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors."""
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors.
+
+    ``by``: a column with few values, each written to a folder of its own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for ``df``, once nothing reads it any more, and let Spark drop
-    the shuffle files of plans that are no longer referenced."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these, once nothing reads it any more."""
+    spark = frames[0].sparkSession
     home = shared_dir(spark)
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if path.replace("file:///", "file:/").startswith(home.replace("file:///", "file:/")):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    plain = lambda x: re.sub(r"^file:/+", "/", x)
+    files = [plain(f) for df in frames for f in df.inputFiles()]
+    for path in {m[0] for f in files if (m := re.match(re.escape(plain(home)) + r"/[0-9a-f]{32}(?=/)", f))}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home + path[len(plain(home)) :])
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of plans that nothing refers to any more."""
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str | StructType) -> DataFrame:

@@ -25,15 +25,19 @@ doc_id is nobody's source, and its own windows are never removed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from schemaloom.llm.batch_words import batch_words, chunks
-from schemaloom.llm.common import as_bytes, covered, discard, materialise, mix, table, window_hashes
+from schemaloom.llm.common import as_bytes, covered, discard, materialise, mix, release, table, window_hashes
 
-WINDOW, ROUNDS = 13, 2
+WINDOW, ROUNDS = 13, 3
+#: Candidate windows are compared in so many slices of their hashes, one after another, so that the
+#: shuffle files of one slice at a time are on disk. All slices are compared.
+SLICES = 4
 _RUN, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _SIDES = mix(np.arange(1, 65, dtype=np.uint64))
 
@@ -139,12 +143,17 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
                 yield pa.RecordBatch.from_arrays([pa.array(windows[whole[keep]].view(np.int64)), ids], names=["w", "doc_id"])
 
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id")
-    candidates = materialise(texts.select("doc_id", "text", "ss").mapInArrow(verify, "w long, doc_id long"))
+    found = texts.select("doc_id", "text", "ss").mapInArrow(verify, "w long, doc_id long")
+    candidates = materialise(found.withColumn("slice", F.pmod("w", F.lit(SLICES)).cast("int")), by="slice")
     discard(wanted)
-    firsts = candidates.groupBy("w").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    later = candidates.join(firsts, "w").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("w").alias("ws"))
-    out = materialise(later)
-    discard(candidates)
+    parts = []
+    for k in range(SLICES):
+        mine = candidates.where(F.col("slice") == k).select("w", "doc_id")
+        firsts = mine.groupBy("w").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+        parts.append(materialise(mine.join(firsts.select("w", "first_doc"), "w").where("doc_id > first_doc").select("doc_id", "w")))
+        release(docs.sparkSession)
+    out = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set("w").alias("ws")))
+    discard(candidates, *parts)
     return out
 
 
