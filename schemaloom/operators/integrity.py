@@ -27,7 +27,7 @@ def verify(requests: DataFrame, leases: DataFrame) -> DataFrame:
 
 def outcome_counts(events: DataFrame, kind: str, outcome: str, values: list[str]) -> DataFrame:
     """One row per kind with a count for each outcome, and the total."""
-    wide = events.groupBy(kind).pivot(outcome, values).agg(F.count("*")).na.fill(0)
+    wide = events.groupBy(kind).pivot(outcome, values).agg(F.count(F.lit(1))).na.fill(0)
     return wide.withColumn("total", sum((F.col(v) for v in values), F.lit(0)))
 
 

@@ -297,13 +297,13 @@ def agg_surface_forms(spark, sf):
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query(f"SELECT a.vec_id, b.vec_id AS other, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE {_COS} >= 0.55")
+@query(f"SELECT a.vec_id, b.vec_id AS other, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE {_COS} >= 0.3")
 def sim_cosine(spark, sf):
     """SIM-3: every vector whose id is divisible by 100 against all of its label."""
     e = read(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select("vec_id", "label", F.col("embedding").alias("q"))
     both = q.join(e.select(F.col("vec_id").alias("other"), "label", "embedding"), "label").where("vec_id <> other")
-    return _rounded(both.withColumn("score", M.cosine(F.col("q"), F.col("embedding"))).where(F.col("score") >= M.M3_THRESHOLD).select("vec_id", "other", "score"))
+    return _rounded(both.withColumn("score", M.cosine(F.col("q"), F.col("embedding"))).where(F.col("score") >= 0.3).select("vec_id", "other", "score"))
 
 
 @query()
@@ -340,10 +340,10 @@ def win_round_robin(spark, sf):
     return I.round_robin(read(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 15).withColumn("round", F.col("round").cast("long"))
 
 
-@query("SELECT ord // 15 AS batch, CAST(sum(length('### ' || p_name || chr(10) || trim(p_type))) + 2 * (count(*) - 1) + 7 AS BIGINT) AS n_chars, count(*) AS n FROM (SELECT *, p_partkey - 1 AS ord FROM part) GROUP BY 1")
+@query("SELECT ord // 15 AS batch, CAST(sum(length('### ' || p_name || chr(10) || trim(p_type))) + 2 * (count(*) - 1) + 7 AS BIGINT) AS n_chars, count(*) AS n FROM (SELECT *, p_partkey AS ord FROM part) GROUP BY 1")
 def prj_prompts(spark, sf):
     """PRJ-1, WIN-8, UDF-8"""
-    d = read(spark, sf, "part").select((F.col("p_partkey") - 1).alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("text"))
+    d = read(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("text"))
     made = I.render_prompts(d, "Docs: \n{documents}", 15, [])
     n = d.groupBy(F.floor(F.col("ord") / 15).alias("batch")).agg(F.count("*").alias("n"))
     return made.join(n, "batch").select("batch", F.col("n_chars").cast("long").alias("n_chars"), "n")
