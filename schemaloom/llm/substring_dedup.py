@@ -35,7 +35,7 @@ from schemaloom.llm.batch_words import batch_words, chunks
 from schemaloom.llm.common import as_bytes, covered, discard, materialise, mix, release, table, window_hashes
 
 WINDOW, ROUNDS = 13, 3
-#: Candidate windows are compared in so many slices of their hashes, one after another, so that the
+#: Symbols and candidate windows are compared in so many slices of their hashes, one after another, so that the
 #: shuffle files of one slice at a time are on disk. All slices are compared.
 SLICES = 4
 _RUN, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -121,12 +121,22 @@ def symbols(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataF
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "s long, doc_id long")
 
 
+def _sliced(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn("slice", F.pmod(column, F.lit(SLICES)).cast("int"))
+
+
 def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, ws array<bigint>): per document the hashes of its windows that start in a document with a smaller id."""
-    made = materialise(symbols(docs, width, rounds))
-    shared = made.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s")
-    wanted = materialise(made.join(shared, "s").groupBy("doc_id").agg(F.collect_set("s").alias("ss")))
+    made = materialise(_sliced(symbols(docs, width, rounds), "s"), by="slice")
+    parts = []
+    for k in range(SLICES):
+        mine = made.where(F.col("slice") == k).select("s", "doc_id")
+        shared = mine.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s")
+        parts.append(materialise(mine.join(shared, "s").select("doc_id", "s")))
+        release(docs.sparkSession)
     discard(made)
+    wanted = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set("s").alias("ss")))
+    discard(*parts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +154,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
 
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id")
     found = texts.select("doc_id", "text", "ss").mapInArrow(verify, "w long, doc_id long")
-    candidates = materialise(found.withColumn("slice", F.pmod("w", F.lit(SLICES)).cast("int")), by="slice")
+    candidates = materialise(_sliced(found, "w"), by="slice")
     discard(wanted)
     parts = []
     for k in range(SLICES):
