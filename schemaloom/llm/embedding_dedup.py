@@ -155,3 +155,11 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_embedding_dedup": op3_embedding_dedup}
+
+ORACLES = {
+    "op3_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+ e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}),
+ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+ SELECT vec_id, (SELECT count(*) FROM e WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(b) FROM r WHERE a = vec_id), vec_id)) AS component_id,
+ vec_id = least(vec_id, coalesce((SELECT min(b) FROM r WHERE a = vec_id), vec_id)) AS kept FROM v"""
+}
