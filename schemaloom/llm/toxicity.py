@@ -13,9 +13,9 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schemaloom.llm.common import map_rows, table
+from schemaloom.llm.common import discard, map_rows, materialise, table
 from schemaloom.llm.quality_rules import labelled_sample
 
 #: Most labelled rows used for training, and most features kept.
@@ -56,24 +56,19 @@ class Ordinal:
         return float(sum(above)), float(above[0]), grade
 
 
-def train(bags: list[list[bytes]], toxic: np.ndarray, rounds: int = 300, rate: float = 0.1, ridge: float = 2e-4) -> Ordinal:
-    """Full-batch Adam on the cumulative-link likelihood. Without both classes nothing is toxic."""
-    n = len(bags)
+def train(cols: list[np.ndarray], sizes: np.ndarray, toxic: np.ndarray, names: list[bytes], lean: np.ndarray, rounds: int = 300, rate: float = 0.1, ridge: float = 2e-4) -> Ordinal:
+    """Full-batch Adam on the cumulative-link likelihood.
+
+    ``cols``: for each text the places in ``names`` of its features; ``sizes``: how many features it has in all;
+    ``lean``: by feature, how much more often toxic texts have it (difference of log shares).
+    Without both classes nothing is toxic.
+    """
+    n = len(cols)
     if not n or toxic.min() == toxic.max():
         return Ordinal({}, [20.0 + k for k in range(GRADES - 1)])
-    seen, bad = Counter(), Counter()
-    for bag, t in zip(bags, toxic):
-        seen.update(bag)
-        if t:
-            bad.update(bag)
-    n1 = toxic.sum()
-    lean = {f: np.log((bad[f] + 0.5) / (n1 + 1)) - np.log((c - bad[f] + 0.5) / (n - n1 + 1)) for f, c in seen.items() if c >= 4}
-    names = sorted(lean, key=lambda f: (-abs(lean[f]) * np.sqrt(seen[f]), f))[:MAX_FEATURES]
-    where = {f: i for i, f in enumerate(names)}
-    cols = [np.array([where[f] for f in bag if f in where], np.int64) for bag in bags]
-    col, row = np.concatenate(cols), np.repeat(np.arange(n), [len(c) for c in cols])
-    toxic_word = np.array([lean[f] > 2 for f in names], float)
-    share = np.bincount(row, toxic_word[col], n) / np.maximum(1, [len(b) for b in bags])
+    col, row = np.concatenate(cols).astype(np.int64), np.repeat(np.arange(n), [len(c) for c in cols])
+    toxic_word = (lean > 2).astype(float)
+    share = np.bincount(row, toxic_word[col], n) / np.maximum(1, sizes)
     steps = np.quantile(share[toxic], np.linspace(0, 1, GRADES)[1:-1])
     y = np.where(toxic, 1 + np.searchsorted(steps, share), 0)
     above = (y[:, None] >= np.arange(1, GRADES)).astype(float)
@@ -94,12 +89,32 @@ def train(bags: list[list[bytes]], toxic: np.ndarray, rounds: int = 300, rate: f
     return Ordinal({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, cuts.tolist())
 
 
+def leaning(bags: DataFrame, n: int, n1: int) -> DataFrame:
+    """bags(bag, y) of ``n`` texts, ``n1`` toxic -> (f, lean): the ``MAX_FEATURES`` features in 4 texts or more that tell most."""
+    counts = bags.select(F.explode("bag").alias("f"), "y").groupBy("f").agg(F.count("*").alias("seen"), F.sum("y").alias("bad")).where("seen >= 4")
+    lean = F.log((F.col("bad") + 0.5) / (n1 + 1)) - F.log((F.col("seen") - F.col("bad") + 0.5) / (n - n1 + 1))
+    return counts.select("f", "seen", lean.alias("lean")).orderBy(F.desc(F.abs("lean") * F.sqrt("seen")), "f").limit(MAX_FEATURES).select("f", "lean")
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal:
-    """Train on labels(doc_id, toxic 0/1)."""
-    sample = labelled_sample(docs, labels, "toxic", rows)
-    got = map_rows(sample.select("text", "y"), lambda: lambda t, y: (sorted(features(t)), y), "bag array<binary>, y double").toPandas()
-    got = sorted(zip([list(map(bytes, b)) for b in got["bag"]], got["y"]))
-    return train([b for b, _ in got], np.array([y > 0 for _, y in got], bool))
+    """Train on labels(doc_id, toxic 0/1).
+
+    Features are counted and chosen on executors; the driver gets at most ``MAX_FEATURES`` names, and for each
+    sampled text the 4-byte places of those it has.
+    """
+    sample = labelled_sample(docs, labels, "toxic", rows).select("text", F.col("y").cast("int").alias("y"))
+    bags = materialise(map_rows(sample, lambda: lambda t, y: (sorted(features(t)), y), "bag array<binary>, y int"))
+    n, n1 = bags.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0))).first()
+    chosen = leaning(bags, n, n1).collect() if 0 < n1 < n else []
+    names, lean = [bytes(r["f"]) for r in chosen], np.array([r["lean"] for r in chosen], float)
+
+    def place():
+        where = {f: i for i, f in enumerate(names)}
+        return lambda bag, y: (np.array([where[f] for f in bag if f in where], np.int32).tobytes(), len(bag), y)
+
+    got = sorted(tuple(r) for r in map_rows(bags, place, "at binary, n long, y int").toLocalIterator()) if names else []
+    discard(bags)
+    return train([np.frombuffer(a, np.int32) for a, _, _ in got], np.array([k for _, k, _ in got]), np.array([y > 0 for _, _, y in got], bool), names, lean)
 
 
 def score(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD) -> DataFrame:
