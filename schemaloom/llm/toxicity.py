@@ -22,7 +22,7 @@ from schemaloom.llm.quality_rules import labelled_sample
 TRAIN_ROWS, MAX_FEATURES = 12000, 2000
 GRADES = 4
 #: Texts with at least this P(severity >= 1) are toxic.
-THRESHOLD = 0.2
+THRESHOLD = 0.3
 #: Lengths in bytes of the beginnings of words that are features.
 PREFIXES = (4, 6)
 _MARKS = ((b"^", 1), (b"^^", 2), (b"^^^", 4), (b"^^^^", 8))
