@@ -83,7 +83,7 @@ class GrayIndex:
                     members = np.r_[first[a] : end[a], first[b] : end[b]]
                     forest.link(members, np.full(len(members), members[0]))
                 i, j = i[~whole], j[~whole]
-            if n > 4 * CHUNK and len(i):  # groups that are already in one component need no visit
+            if n > 1024 and len(i):  # groups that are already in one component need no visit
                 r = forest.roots()
                 low, high = np.minimum.reduceat(r, first), np.maximum.reduceat(r, first)
                 todo = (low[i] != high[j]) | (high[i] != low[j])

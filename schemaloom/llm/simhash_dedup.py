@@ -19,11 +19,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schemaloom.llm.common import map_rows, materialise, table
+from schemaloom.llm.common import discard, map_rows, materialise, mix, table
 from schemaloom.llm.components import components
 from schemaloom.llm.gray_index import GrayIndex, gray_rank
 
 SHINGLE, RADIUS = 3, 3
+#: For similarity of sets: minima by band, bands, and the radii at which the fingerprints in a bucket are linked.
+ROWS, BANDS, RADII = 6, 20, (3, 6, 9, 12, 16)
+_MASKS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTORS = mix(_MASKS) | np.uint64(1)
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -83,6 +87,12 @@ def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
             at = pa.array(np.repeat(np.arange(b.num_rows), m))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["key", "rep", "fp"])
 
+    return bucket_links(classes.select("rep", "fp").mapInArrow(route, "key long, rep long, fp long"), (radius,))
+
+
+def bucket_links(routed: DataFrame, radii: tuple[int, ...]) -> DataFrame:
+    """routed(key, rep, fp), all bigint -> (a, b): for each bucket and radius a spanning forest of the links within it."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -92,12 +102,17 @@ def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
             a, b = [], []
             for k in np.flatnonzero(np.diff(edge) > 1):
                 r, codes = rep[edge[k] : edge[k + 1]], fp[edge[k] : edge[k + 1]].view(np.uint64)
+                codes, first, of = np.unique(codes, return_index=True, return_inverse=True)
+                a.append(np.delete(r, first))  # equal fingerprints: each to the first with it
+                b.append(r[np.delete(first[of], first)])
+                r = r[first]
                 order = np.argsort(gray_rank(codes), kind="stable")
-                r = r[order]
-                root = GrayIndex(codes[order]).components(radius)
-                linked = root != np.arange(len(root))
-                a.append(r[linked])
-                b.append(r[root[linked]])
+                r, index = r[order], GrayIndex(codes[order])
+                for radius in radii:
+                    root = index.components(radius)
+                    linked = root != np.arange(len(root))
+                    a.append(r[linked])
+                    b.append(r[root[linked]])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
@@ -116,7 +131,6 @@ def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield from links(*(np.concatenate([h[c] for h in held]) for c in range(3)))
 
-    routed = classes.select("rep", "fp").mapInArrow(route, "key long, rep long, fp long")
     return routed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
 
 
@@ -129,6 +143,65 @@ def groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def sketch(text: bytes | None, width: int) -> tuple[int, int, bytes, bytes]:
+    """(digest, fp, bands, hashes) of the set of a text's shingles of ``width`` words.
+
+    The digest is one for each set; fp has the majority bits of the set; bands are ``BANDS`` values, one of which two
+    sets share with a chance of 1 - (1 - j^ROWS)^BANDS at a similarity of j (0.998 at 0.8); hashes are 32 bits a shingle.
+    """
+    words = (text or b"").split()
+    shingles = set(map(b" ".join, zip(*(words[k:] for k in range(width))))) if len(words) >= width else {b" ".join(words)} - {b""}
+    h = np.array([xxhash.xxh64_intdigest(s, seed=42) for s in shingles], np.uint64)
+    h.sort()
+    low, ones = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64)
+    for a in range(0, len(h), 2048):
+        part = h[a : a + 2048]
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        low = np.minimum(low, ((part[:, None] ^ _MASKS) * _FACTORS).min(0))
+    fp = int(np.packbits(2 * ones > len(h)).view(">i8")[0])
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), seed=k) for k, b in enumerate(low.reshape(BANDS, ROWS))]
+    digest = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
+    return digest, fp, np.array(bands, np.uint64).tobytes(), np.unique(h >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sorted sets of 32-bit hashes; two empty ones are equal."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): documents linked where their sets of ``width``-word shingles are ``similarity`` alike.
+
+    Equal sets become one class. At that similarity fingerprints differ in about 10 bits, too many for pigeonhole
+    blocks, so classes are routed by ``BANDS`` minima of their sets instead; the Gray-order index of each bucket gives
+    spanning forests at growing ``RADII``, and only links whose similarity holds on the whole sets are used.
+    component_id is the smallest doc_id of the group (null only where all its ids are). Texts without words are equal.
+    Repeated rows stay repeated.
+    """
+    prints = materialise(map_rows(docs.select("doc_id", "text"), lambda: lambda i, t: (i, *sketch(t, width)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, fp long, bands binary, hashes binary"))
+    classes = prints.groupBy("digest").agg(F.min(F.struct("fp", "bands")).alias("x")).select("digest", "x.*")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+            at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(at), b.column(1).take(at)], names=["key", "rep", "fp"])
+
+    found = bucket_links(classes.mapInArrow(route, "key long, rep long, fp long"), RADII)
+    links = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "digest")
+    sets = materialise(prints.select("digest", "hashes").join(ends, "digest", "left_semi").dropDuplicates(["digest"]))
+    pairs = links.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("hashes").alias("y")), "b")
+    checked = map_rows(pairs.select("a", "b", "x", "y"), lambda: lambda a, b, x, y: (a, b, jaccard(x, y) >= similarity), "a long, b long, near boolean")
+    linked = components(checked.where("near").select("a", "b"))
+    member = prints.select("doc_id", "digest").join(linked, F.col("digest") == F.col("node"), "left").select("doc_id", F.coalesce("component", "digest").alias("group"))
+    member = materialise(member)
+    discard(prints, links, sets)
+    return member.join(member.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "component_id")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

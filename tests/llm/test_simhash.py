@@ -81,3 +81,29 @@ def test_hash_is_sparks(spark):
 
 def test_empty_table(spark):
     assert S.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_groups_equal_brute_force(spark, sf):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    texts = [None, "", "  ", "one two", "one two", "one two three"]
+    for _ in range(30):
+        w = [word() for _ in range(rng.randint(30, 400))]
+        texts.append(" ".join(w))
+        for share in (0.002, 0.01, 0.02, 0.05, 0.2):
+            texts.append(" ".join(word() if rng.random() < share else x for x in w))
+    texts += ["same " * 50, "same " * 60, "x y z " * 40 + "end"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(7, texts[7], "again"), (None, texts[8], "x")], "doc_id long, text string, group string")
+
+    def shingles(t):
+        w = (t or "").split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: a == b or (a and b and len(a & b) >= 0.8 * len(a | b))
+    want = closure(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
+    got = S.similar_groups(docs).collect()
+    assert len(got) == len(texts) + 2
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == dict(enumerate(want))
+    assert [r.component_id for r in got if r.doc_id is None] == [want[8]]
+    assert S.similar_groups(docs.limit(0)).count() == 0
