@@ -28,8 +28,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group, and documents without an id."""
-    found = simhash_dedup.groups(docs)
+    """The document with the smallest id of each group of similar texts (5-word shingles, 0.8), and documents without an id."""
+    found = simhash_dedup.similar_groups(docs)
     return _passing(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
