@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from schemaloom.llm.common import WordHashes, as_bytes, covered, table, window_hashes
 
@@ -162,8 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 def score(docs: DataFrame, model: Trees, threshold: float = 0.5, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the base counts, base_failed, probability of good quality and kept; ``extra`` columns pass through."""
     cut = float(np.log(threshold / (1 - threshold)))
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *extra)]
-    schema = ", ".join([*kinds, *(f"{c} long" for c in BASE_FIELDS), "base_failed boolean", "quality_p double", "kept boolean"])
+    made = [*((c, LongType()) for c in BASE_FIELDS), ("base_failed", BooleanType()), ("quality_p", DoubleType()), ("kept", BooleanType())]
+    schema = StructType([docs.schema[c] for c in ("doc_id", *extra)] + [StructField(c, t) for c, t in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = Statistics()

@@ -12,7 +12,7 @@ stay repeated. Rows whose id is null keep their fingerprint and get their group'
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +90,22 @@ def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return bucket_links(classes.select("rep", "fp").mapInArrow(route, "key long, rep long, fp long"), (radius,))
 
 
-def bucket_links(routed: DataFrame, radii: tuple[int, ...]) -> DataFrame:
-    """routed(key, rep, fp), all bigint -> (a, b): for each bucket and radius a spanning forest of the links within it."""
+def stars(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that tie every member of a group to its first."""
+    _, first, of = np.unique(group, return_index=True, return_inverse=True)
+    rest = np.delete(np.arange(len(group)), first)
+    return rest, first[of[rest]]
+
+
+def chains(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that tie every member of a group to the one before it, so that none is in more than two pairs."""
+    at = np.argsort(group, kind="stable")
+    same = group[at[1:]] == group[at[:-1]]
+    return at[1:][same], at[:-1][same]
+
+
+def bucket_links(routed: DataFrame, radii: tuple[int, ...], tied: Callable = stars) -> DataFrame:
+    """routed(key, rep, fp), all bigint -> (a, b): for each bucket and radius its groups, each tied together by ``tied``."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -103,16 +117,16 @@ def bucket_links(routed: DataFrame, radii: tuple[int, ...]) -> DataFrame:
             for k in np.flatnonzero(np.diff(edge) > 1):
                 r, codes = rep[edge[k] : edge[k + 1]], fp[edge[k] : edge[k + 1]].view(np.uint64)
                 codes, first, of = np.unique(codes, return_index=True, return_inverse=True)
-                a.append(np.delete(r, first))  # equal fingerprints: each to the first with it
-                b.append(r[np.delete(first[of], first)])
+                x, y = tied(of)
+                a.append(r[x])
+                b.append(r[y])
                 r = r[first]
                 order = np.argsort(gray_rank(codes), kind="stable")
                 r, index = r[order], GrayIndex(codes[order])
                 for radius in radii:
-                    root = index.components(radius)
-                    linked = root != np.arange(len(root))
-                    a.append(r[linked])
-                    b.append(r[root[linked]])
+                    x, y = tied(index.components(radius))
+                    a.append(r[x])
+                    b.append(r[y])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
@@ -176,7 +190,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     Equal sets become one class. At that similarity fingerprints differ in about 10 bits, too many for pigeonhole
     blocks, so classes are routed by ``BANDS`` minima of their sets instead; the Gray-order index of each bucket gives
-    spanning forests at growing ``RADII``, and only links whose similarity holds on the whole sets are used.
+    groups at growing ``RADII``, each tied together as a chain of Gray neighbours (no text has a hub's number of links),
+    and only links whose similarity holds on the whole sets are used.
     component_id is the smallest doc_id of the group (null only where all its ids are). Texts without words are equal.
     Repeated rows stay repeated.
     """
@@ -189,7 +204,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(at), b.column(1).take(at)], names=["key", "rep", "fp"])
 
-    found = bucket_links(classes.mapInArrow(route, "key long, rep long, fp long"), RADII)
+    found = bucket_links(classes.mapInArrow(route, "key long, rep long, fp long"), RADII, chains)
     links = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "digest")
     sets = materialise(prints.select("digest", "hashes").join(ends, "digest", "left_semi").dropDuplicates(["digest"]))

@@ -11,11 +11,14 @@ a text without known features.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from schemaloom.llm.common import discard, map_rows, materialise, table
+from schemaloom.llm.common import as_bytes, discard, map_rows, materialise, table
 from schemaloom.llm.quality_rules import labelled_sample
 
 #: Most labelled rows used for training, and most features kept.
@@ -118,18 +121,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal:
     return train([np.frombuffer(a, np.int32) for a, _, _ in got], np.array([k for _, k, _ in got]), np.array([y > 0 for _, _, y in got], bool), names, lean)
 
 
-def score(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, expected severity (0 to 3), P(toxic), grade, toxic (P >= threshold) and kept (not toxic)."""
+def score(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, expected severity (0 to 3), P(toxic), grade, toxic (P >= threshold) and kept (not toxic); ``extra`` columns pass through."""
+    out = StructType([docs.schema[c] for c in ("doc_id", *extra)] + [StructField(c, t) for c, t in (("expected_severity", DoubleType()), ("toxic_p", DoubleType()), ("grade", IntegerType()), ("toxic", BooleanType()), ("kept", BooleanType()))])
+    names = out.fieldNames()
 
-    def make():
-        def row(i, text):
-            severity, p, grade = model(text)
-            return i, severity, p, grade, p >= threshold, p < threshold
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                severity, p, grade = (np.array(x) for x in zip(*map(model, as_bytes(b.column(0)).to_pylist())))
+                made = [pa.array(x) for x in (severity, p, grade.astype(np.int32), p >= threshold, p < threshold)]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=names)
 
-        return row
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, expected_severity double, toxic_p double, grade int, toxic boolean, kept boolean")
+    return docs.select("text", "doc_id", *extra).mapInArrow(run, out)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
