@@ -12,25 +12,28 @@ from schemaloom.llm import packing, quality_rules, simhash_dedup, substring_dedu
 from schemaloom.llm.common import materialise, table
 
 
-def _passing(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs without the ids that ``verdicts`` (doc_id, kept) rejects."""
-    return docs.join(verdicts.where("not kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _accepted(docs: DataFrame, score) -> DataFrame:
+    """The documents that ``score`` keeps, in one pass: a document travels beside its verdict, so nothing is joined."""
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
+    return score(whole).where("kept").select("whole.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the trees accept."""
-    return _passing(docs, materialise(quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "kept")))
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return _accepted(docs, lambda d: quality_rules.score(d, model, extra=("whole",)))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic."""
-    return _passing(docs, materialise(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "kept")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _accepted(docs, lambda d: toxicity.score(d, model, extra=("whole",)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of similar texts (5-word shingles, 0.8), and documents without an id."""
-    found = simhash_dedup.similar_groups(docs)
-    return _passing(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    gone = materialise(simhash_dedup.similar_groups(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
