@@ -16,14 +16,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from schemaloom.llm.common import discard, map_rows, materialise, mix, table
 from schemaloom.llm.components import components
-from schemaloom.llm.gray_index import GrayIndex, gray_rank
+from schemaloom.llm.gray_index import Forest, GrayIndex, gray_rank
 
-SHINGLE, RADIUS = 3, 3
+SHINGLE, RADIUS, TILE = 3, 3, 512
 #: For similarity of sets: minima by band, bands, and the radii at which the fingerprints in a bucket are linked.
 ROWS, BANDS, RADII = 6, 20, (3, 6, 9, 12, 16)
 _MASKS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -185,24 +186,71 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """routed(key, rep, fp, part), sets(digest, hashes) -> (a, b): links between the parts of a bucket.
+
+    ``part`` is what verified links already connect. A bucket of more than one part goes on until each of its pairs
+    within the last of ``RADII`` is verified on the whole sets or connected by verified links. Buckets of more than
+    ``tile`` members are dealt out as pairs of tiles, so no task holds an unbounded bucket and no pair is dropped."""
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    todo = routed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", tiles.alias("t"))
+    dealt = routed.join(todo, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "t").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    dealt = materialise(dealt.select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "mine", "rep", "fp", "part"))
+    used = sets.join(dealt.select(F.col("rep").alias("digest")).distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+
+    def join(key, rows):
+        size = pc.binary_length(rows["hashes"]).to_numpy() // 4
+        rows = rows.take(pa.array(np.argsort(size, kind="stable")))
+        rep, side, fp = rows["rep"].to_numpy(), rows["mine"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        size = pc.binary_length(rows["hashes"]).to_numpy() // 4
+        start = np.cumsum(size) - size
+        word = np.unique(np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint32), return_inverse=True)[1].astype(np.int32)
+        part = np.unique(rows["part"].to_numpy(), return_inverse=True)[1]
+        forest, held = Forest(int(part.max()) + 1), np.zeros(len(word), bool)
+        # Sizes grow, so the sets that can be alike are those up to a size; one without words has no such set.
+        most = np.searchsorted(size, size / similarity + 1e-6, side="right")
+        a, b = [], []
+        for i in np.flatnonzero(size):
+            root = forest.roots()[part]
+            j = np.arange(i + 1, most[i])
+            j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (key[1].as_py() == key[2].as_py())) & (np.bitwise_count(fp[j] ^ fp[i]) <= RADII[-1])]
+            if not len(j):
+                continue
+            mine = word[start[i] : start[i] + size[i]]
+            held[mine] = True
+            first = np.cumsum(size[j]) - size[j]
+            both = np.add.reduceat(held[word[np.repeat(start[j] - first, size[j]) + np.arange(size[j].sum())]], first, dtype=np.int64)
+            held[mine] = False
+            j = j[both / (size[i] + size[j] - both) >= similarity]
+            j = j[np.unique(root[j], return_index=True)[1]]
+            forest.link(np.full(len(j), part[i]), part[j])
+            a.append(np.full(len(j), rep[i]))
+            b.append(rep[j])
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    return dealt.join(used, F.col("rep") == F.col("digest")).drop("digest").groupBy("key", "t1", "t2").applyInArrow(join, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id): documents linked where their sets of ``width``-word shingles are ``similarity`` alike.
 
     Equal sets become one class. At that similarity fingerprints differ in about 10 bits, too many for pigeonhole
     blocks, so classes are routed by ``BANDS`` minima of their sets instead; the Gray-order index of each bucket gives
     groups at growing ``RADII``, each tied together as a chain of Gray neighbours (no text has a hub's number of links),
-    and only links whose similarity holds on the whole sets are used.
+    and only links whose similarity holds on the whole sets are used. Where they leave a bucket in several parts,
+    ``rest_links`` verifies the pairs between them.
     component_id is the smallest doc_id of the group (null only where all its ids are). Texts without words are equal.
     Repeated rows stay repeated.
     """
     prints = materialise(map_rows(docs.select("doc_id", "text"), lambda: lambda i, t: (i, *sketch(t, width)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, fp long, bands binary, hashes binary"))
-    classes = prints.groupBy("digest").agg(F.min(F.struct("fp", "bands")).alias("x")).select("digest", "x.*")
+    classes = materialise(prints.groupBy("digest").agg(F.min(F.struct("fp", "bands")).alias("x")).select("digest", "x.*"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
             at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(at), b.column(1).take(at)], names=["key", "rep", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(at) for c in range(b.num_columns) if c != 2)], names=["key", "rep", "fp", "part"][: b.num_columns])
 
     found = bucket_links(classes.mapInArrow(route, "key long, rep long, fp long"), RADII, chains)
     links = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -210,10 +258,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     sets = materialise(prints.select("digest", "hashes").join(ends, "digest", "left_semi").dropDuplicates(["digest"]))
     pairs = links.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("hashes").alias("y")), "b")
     checked = map_rows(pairs.select("a", "b", "x", "y"), lambda: lambda a, b, x, y: (a, b, jaccard(x, y) >= similarity), "a long, b long, near boolean")
-    linked = components(checked.where("near").select("a", "b"))
+    linked = materialise(components(checked.where("near").select("a", "b")))
+    parts = classes.join(linked, F.col("digest") == F.col("node"), "left").select("digest", "fp", "bands", F.coalesce("component", "digest").alias("part"))
+    rest = rest_links(parts.mapInArrow(route, "key long, rep long, fp long, part long"), prints.select("digest", "hashes"), similarity, tile)
+    linked = components(rest.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     member = prints.select("doc_id", "digest").join(linked, F.col("digest") == F.col("node"), "left").select("doc_id", F.coalesce("component", "digest").alias("group"))
     member = materialise(member)
-    discard(prints, links, sets)
+    discard(prints, classes, links, sets)
     return member.join(member.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "component_id")
 
 

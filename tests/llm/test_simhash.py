@@ -107,3 +107,23 @@ def test_similar_groups_equal_brute_force(spark, sf):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == dict(enumerate(want))
     assert [r.component_id for r in got if r.doc_id is None] == [want[8]]
     assert S.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_copies_unlike_one_another_join_their_original(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        w = list(base)
+        for k in rng.sample(range(20, 280), 6):
+            w[k] = word()
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    near = [i for i in range(301) if alike(sets[0], sets[i])]
+    assert len(near) > 290 and not alike(sets[1], sets[2])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (S.TILE, 32):
+        got = {r.doc_id: r.component_id for r in S.similar_groups(docs, tile=tile).collect()}
+        assert sum(got[i] == 0 for i in near) >= 0.99 * len(near)
