@@ -187,7 +187,7 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
-    """routed(key, rep, fp, part), sets(digest, hashes) -> (a, b): links between the parts of a bucket.
+    """routed(key, rep, part), sets(digest, hashes) -> (a, b): links between the parts of a bucket.
 
     ``part`` is what verified links already connect. A bucket of more than one part goes on until each of its pairs
     within the last of ``RADII`` is verified on the whole sets or connected by verified links. Buckets of more than
@@ -195,13 +195,13 @@ def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int
     tiles = F.ceil(F.col("n") / tile).cast("int")
     todo = routed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", tiles.alias("t"))
     dealt = routed.join(todo, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "t").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    dealt = materialise(dealt.select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "mine", "rep", "fp", "part"))
+    dealt = materialise(dealt.select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "mine", "rep", "part"))
     used = sets.join(dealt.select(F.col("rep").alias("digest")).distinct(), "digest", "left_semi").dropDuplicates(["digest"])
 
     def join(key, rows):
         size = pc.binary_length(rows["hashes"]).to_numpy() // 4
         rows = rows.take(pa.array(np.argsort(size, kind="stable")))
-        rep, side, fp = rows["rep"].to_numpy(), rows["mine"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        rep, side = rows["rep"].to_numpy(), rows["mine"].to_numpy()
         size = pc.binary_length(rows["hashes"]).to_numpy() // 4
         start = np.cumsum(size) - size
         word = np.unique(np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint32), return_inverse=True)[1].astype(np.int32)
@@ -213,7 +213,7 @@ def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int
         for i in np.flatnonzero(size):
             root = forest.roots()[part]
             j = np.arange(i + 1, most[i])
-            j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (key[1].as_py() == key[2].as_py())) & (np.bitwise_count(fp[j] ^ fp[i]) <= RADII[-1])]
+            j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (key[1].as_py() == key[2].as_py()))]
             if not len(j):
                 continue
             mine = word[start[i] : start[i] + size[i]]
@@ -229,7 +229,9 @@ def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int
         none = [np.empty(0, np.int64)]
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
-    return dealt.join(used, F.col("rep") == F.col("digest")).drop("digest").groupBy("key", "t1", "t2").applyInArrow(join, "a long, b long")
+    found = materialise(dealt.join(used, F.col("rep") == F.col("digest")).drop("digest").groupBy("key", "t1", "t2").applyInArrow(join, "a long, b long"))
+    discard(dealt)
+    return found
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
@@ -250,7 +252,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, til
         for b in batches:
             keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
             at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(at) for c in range(b.num_columns) if c != 2)], names=["key", "rep", "fp", "part"][: b.num_columns])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(at), b.column(1).take(at)], names=["key", "rep", b.schema.names[1]])
 
     found = bucket_links(classes.mapInArrow(route, "key long, rep long, fp long"), RADII, chains)
     links = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -259,8 +261,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, til
     pairs = links.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("hashes").alias("y")), "b")
     checked = map_rows(pairs.select("a", "b", "x", "y"), lambda: lambda a, b, x, y: (a, b, jaccard(x, y) >= similarity), "a long, b long, near boolean")
     linked = materialise(components(checked.where("near").select("a", "b")))
-    parts = classes.join(linked, F.col("digest") == F.col("node"), "left").select("digest", "fp", "bands", F.coalesce("component", "digest").alias("part"))
-    rest = rest_links(parts.mapInArrow(route, "key long, rep long, fp long, part long"), prints.select("digest", "hashes"), similarity, tile)
+    parts = classes.join(linked, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("component", "digest").alias("part"), "bands")
+    rest = rest_links(parts.mapInArrow(route, "key long, rep long, part long"), prints.select("digest", "hashes"), similarity, tile)
     linked = components(rest.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     member = prints.select("doc_id", "digest").join(linked, F.col("digest") == F.col("node"), "left").select("doc_id", F.coalesce("component", "digest").alias("group"))
     member = materialise(member)

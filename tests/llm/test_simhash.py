@@ -127,3 +127,17 @@ def test_copies_unlike_one_another_join_their_original(spark):
     for tile in (S.TILE, 32):
         got = {r.doc_id: r.component_id for r in S.similar_groups(docs, tile=tile).collect()}
         assert sum(got[i] == 0 for i in near) >= 0.99 * len(near)
+
+
+@pytest.mark.parametrize("seed", [201, 698, 2761])
+def test_alike_over_the_last_radius(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    a = [word() for _ in range(300)]
+    b = list(a)
+    for k in rng.sample(range(20, 280), 6):
+        b[k] = word()
+    x, y = (S.sketch(" ".join(w).encode(), 5) for w in (a, b))
+    assert S.jaccard(x[3], y[3]) >= 0.8 and ((x[1] ^ y[1]) % 2**64).bit_count() > S.RADII[-1]
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    assert [r.component_id for r in S.similar_groups(docs).collect()] == [1, 1]
