@@ -181,8 +181,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 if partner and outside:
                     hit = shared(_hashes([found[k] for k in outside]), np.array(partner["lines"], np.int64))
                     drop = {outside[k] for k in np.flatnonzero(hit)}
-                if any(x[1] for x in found):  # a page that marks its article has no other article text
-                    drop.update(outside)
                 texts.append("\n".join(t for k, (t, _) in enumerate(found) if k not in drop))
                 gone.append(len(drop))
             n = [len(t) for t in texts]

@@ -63,6 +63,14 @@ def test_mirrored_articles_stay(spark):
     assert {r.text for r in H.extract(df).collect()} == {"Head & more\nOne two three\nFour five"}
 
 
+def test_text_outside_the_article_stays(spark):
+    page = "<body><div>Site name</div><p>Lead {0}.</p><article><h2>Teaser {0}</h2></article><div>Story {0}.</div><div>Imprint</div></body>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i:03}", page.format(i)) for i in range(20)], "page_id long, url string, html string")
+    got = H.extract(df).collect()
+    assert {r.text for r in got} == {f"Lead {i}.\nTeaser {i}\nStory {i}." for i in range(20)}
+    assert {r.n_shared for r in got} == {2}
+
+
 def test_packing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
     odd = [(-1, None, "s"), (-2, "", None), (-3, "w " * 5000, None), (-4, "same text", "s"), (-4, "same text", "s"), (None, "x y", "s")]
