@@ -162,5 +162,18 @@ def test_generated_rows_are_consistent(spark):
     assert {k: v.count() for k, v in t.items()} == {"owners": 18, "tenants": 35, "properties": 45, "leases": 50, "maintenance_requests": 65}
 
 
+def test_integrity_finds_planted_violations(spark, tmp_path):
+    tables = {
+        "customer": ("c_custkey long", [(1,), (10,), (101,)]),
+        "orders": ("o_orderkey long, o_custkey long", [(1, 1), (2, 10), (3, 20), (4, 21), (5, None)]),
+        "lineitem": ("l_orderkey long", [(1,), (2,), (2,), (9,)]),
+        "events": ("user_id long", [(1,), (101,), (102,), (50,), (None,)]),
+    }
+    for name, (kind, rows) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = sorted(map(tuple, Q.jn_integrity(spark, str(tmp_path)).collect()))
+    assert got == [("line_order", "9"), ("order_customer", "20"), ("order_customer", "21"), ("twice", "2"), ("user", "102"), ("user", "50")]
+
+
 def test_every_oracle_has_a_query():
     assert set(Q.ORACLES) <= set(Q.QUERIES)
