@@ -57,6 +57,37 @@ def fuzzy(a: str, b: str) -> float:
     return 1.0 if a == b else min(token_set_ratio(a, b), token_sort_ratio(a, b))
 
 
+def lexicon(pack: dict[str, list[str]]) -> frozenset[tuple[str, str]]:
+    """Pairs (a, b) both ways between a norm and each of its synonyms; not among the synonyms of one. ``pack`` is in norms."""
+    rows = [(k, s) for k, many in pack.items() for s in many]
+    return frozenset(rows + [(b, a) for a, b in rows])
+
+
+def m2_scorer(pack: dict[str, list[str]]):
+    """Score of two norms at M2: 1 if they are equal or synonyms, else fuzzy."""
+    known = lexicon(pack)
+    return lambda a, b: 1.0 if (a, b) in known else fuzzy(a, b)
+
+
+def m3_score(a, b) -> float:
+    """Score of two (norm, vector) structs at M3: 1 for equal norms, else the cosine; no lexicon. Without a cosine
+    (a null, empty or zero vector, unequal lengths) -1, which is under any threshold."""
+    if a["norm"] == b["norm"]:
+        return 1.0
+    if a["vector"] is None or b["vector"] is None or len(a["vector"]) != len(b["vector"]):
+        return -1.0
+    x, y = np.asarray(a["vector"], float), np.asarray(b["vector"], float)
+    size = float(np.linalg.norm(x) * np.linalg.norm(y))
+    score = float(x @ y) / size if size else -1.0
+    return score if np.isfinite(score) else -1.0
+
+
+def match_cosine(gold: DataFrame, induced: DataFrame, vectors: DataFrame, threshold: float = M3_THRESHOLD) -> DataFrame:
+    """(scope, gold, induced, score) at M3: both sides (scope, id, norm), vectors (norm, vector), one for each norm."""
+    side = lambda df: df.join(vectors, "norm", "left").select("scope", "id", F.struct("norm", "vector").alias("value"))
+    return match_scored(side(gold), side(induced), m3_score, threshold)
+
+
 def assign(score: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of a one-to-one assignment with the largest sum; shortest augmenting paths, n^2 m."""
     if 0 in score.shape:
@@ -106,8 +137,7 @@ def match_scored(gold: DataFrame, induced: DataFrame, scorer, threshold: float,
 
 def synonym_pairs(pack: dict[str, list[str]], spark) -> DataFrame:
     """(a, b) both ways between a key and each of its synonyms; not among the synonyms of one key."""
-    rows = [(k, s) for k, many in pack.items() for s in many]
-    return spark.createDataFrame(rows + [(b, a) for a, b in rows], "a string, b string").distinct()
+    return spark.createDataFrame(sorted(lexicon(pack)), "a string, b string")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -308,10 +308,10 @@ def sim_cosine(spark, sf):
 
 @query()
 def jn_assign_fuzzy(spark, sf):
-    """SIM-2, JN-1, JN-2 general, JN-4: types against names of each brand, at M2."""
+    """SIM-2, JN-1, JN-2 general, JN-4: types against names of each brand, at M2 (no synonyms are given for them)."""
     p = read(spark, sf, "part")
     side = lambda c: p.select(F.col("p_brand").alias("scope"), F.col(c).alias("id"), T.normalize(F.col(c)).alias("value")).distinct()
-    return M.match_scored(side("p_type"), side("p_name"), M.fuzzy, 0.3)
+    return M.match_scored(side("p_type"), side("p_name"), M.m2_scorer({}), M.M2_THRESHOLD)
 
 
 @query("SELECT id, name, attributes FROM (SELECT lower(p_brand) AS id, arg_min(p_name, p_partkey) AS name, list_sort(list_distinct(list(lower(p_type)))) AS attributes FROM part GROUP BY lower(p_brand), lower(p_name))")

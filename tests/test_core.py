@@ -55,6 +55,32 @@ def test_threshold_comes_after_the_optimum(spark):
     assert [r.gold for r in M.match_scored(side("g"), side("i"), scorer, 0.85, masked=True).collect()] == ["g1"]
 
 
+def test_synonyms_match_at_m2(spark):
+    pack = {"owner": ["landlord", "proprietor"]}
+    score = M.m2_scorer(pack)
+    assert score("owner", "landlord") == score("proprietor", "owner") == 1.0 and score("landlord", "proprietor") < M.M2_THRESHOLD
+    assert score("lease", "least") == 0.8 and score("a b", "a b") == 1.0
+    assert M.synonym_pairs(pack, spark).count() == 4
+    side = lambda *names: spark.createDataFrame([("s", n, n) for n in names], "scope string, id string, value string")
+    got = M.match_scored(side("owner", "lease"), side("landlord", "least"), score, M.M2_THRESHOLD).collect()
+    assert [tuple(r) for r in got] == [("s", "owner", "landlord", 1.0)]
+
+
+def test_cosine_assignment_at_m3(spark):
+    vectors = [("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", [0.6, 0.8]), ("d", [0.0, 1.0]), ("z", [0.0, 0.0])]
+    vectors = spark.createDataFrame(vectors, "norm string, vector array<double>")
+    side = lambda *names: spark.createDataFrame([("s", f"{k} {n}", n) for k, n in enumerate(names)], "scope string, id string, norm string")
+    got = {r.gold: (r.induced, round(r.score, 6)) for r in M.match_cosine(side("a", "d", "z", "none"), side("b", "c", "none"), vectors).collect()}
+    assert got == {"0 a": ("0 b", 0.8), "1 d": ("1 c", 0.8), "3 none": ("2 none", 1.0)}
+    assert M.match_cosine(side("a"), side("c"), vectors, 0.61).count() == 0
+
+
+def test_fuzzy_query_uses_the_surveyed_threshold(spark, tmp_path):
+    rows = [("x", "Steel Bolts", "steel bolt"), ("x", "red pump", "red lamp")]
+    spark.createDataFrame(rows, "p_brand string, p_type string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r)[1:] for r in Q.jn_assign_fuzzy(spark, str(tmp_path)).collect()] == [("Steel Bolts", "steel bolt", 1.0)]
+
+
 def test_c_value_by_hand(spark):
     terms = spark.createDataFrame([("maintenance request", 2, 5), ("maintenance request status", 3, 3)], "term string, n_tokens int, freq long")
     got = {r.term: r.score for r in R.c_value(terms).collect()}
