@@ -3,7 +3,7 @@
 Every assistant turn becomes an example of its own: all turns before it are context and only its text is
 trained on. All examples of a conversation are prefixes of one formatted text, so the expansion keeps one
 segment per turn; an example is (conversation, target turn), made of the segments up to the target's, and
-its loss mask is the target's character span. That is linear in the conversation, also for one that holds a
+its loss mask is the target's character span. ``expand`` streams the examples so. That is linear in the conversation, also for one that holds a
 third of all rows; ``examples`` writes prefixes out in full where that is wanted.
 
 Turns are rendered as <|im_start|>role, newline, text, <|im_end|>, newline. Inside roles and texts a
@@ -91,25 +91,70 @@ def examples(segs: DataFrame) -> DataFrame:
     return joined.select("conv_id", "target_seq", F.array_join(F.expr("transform(filter(turns, x -> x.seq is not null), x -> x.segment)"), "").alias("context"), "target", "loss_start", "loss_end")
 
 
+EXAMPLES = "conv_id long, target_seq long, context_start long, context_end long, loss_start long, loss_end long, added array<string>"
+#: Segments that a row carries at most.
+ADDED = 1024
+
+
+def expand(segs: DataFrame) -> DataFrame:
+    """One row per example: the spans of its context (all turns before) and of its trained text in the conversation's
+    formatted text, and ``added``, the segments up to its target's that the example before it doesn't have. Turns
+    that no example ends, after the last one or over ``ADDED``, come in rows without a target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            out = []
+            for conv, seq, target, start, a, e, segment in zip(*(c.to_pylist() for c in b.columns)):
+                if held and conv != now:
+                    out.append(plain(now, held))
+                    held = []
+                elif len(held) >= ADDED:
+                    out.append(plain(conv, held))
+                    held = []
+                now = conv
+                held.append(segment)
+                if target:
+                    out.append((conv, seq, 0, start, a, e, held))
+                    held = []
+            if out:
+                yield batch(out)
+        if held:
+            yield batch([plain(now, held)])
+
+    def plain(conv, held):
+        return conv, None, None, None, None, None, held
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    names = [x.split()[0] for x in EXAMPLES.split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.string())]
+    return segs.select("conv_id", "seq", "is_target", "start", "loss_start", "loss_end", "segment").mapInArrow(run, EXAMPLES)
+
+
 def digests(segs: DataFrame) -> DataFrame:
-    """Per conversation, read back from its segments: turns, loss and their digests. A digest is a running
+    """Per conversation, read back from its examples: turns, loss and their digests. A digest is a running
     value over the turns in order; tasks stream and hold no conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for b in batches:
             out = []
-            for conv, target, start, a, e, segment in zip(*(c.to_pylist() for c in b.columns)):
+            for conv, example, _, context, a, e, added in zip(*(c.to_pylist() for c in b.columns)):
                 if state is None or conv != now:
                     if state:
                         out.append(closed(now, state))
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_segment(segment)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[4] += len(segment)
-                if target:
-                    loss = unescape(segment[a - start : e - start])
+                for segment in added:
+                    role, text = read_segment(segment)
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
+                    state[4] += len(segment)
+                if example is not None:
+                    if context != state[4] - len(added[-1]):
+                        raise ValueError("an example's context doesn't end where its target starts")
+                    loss = unescape(added[-1][a - context : e - context])
                     state[2] += len(loss)
                     state[3].update(loss.encode())
             if out:
@@ -126,7 +171,7 @@ def digests(segs: DataFrame) -> DataFrame:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return segs.select("conv_id", "is_target", "start", "loss_start", "loss_end", "segment").mapInArrow(run, schema)
+    return expand(segs).mapInArrow(run, schema)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,24 @@ def test_digests(spark):
     assert set(made) == {1, 2} and made[1].context == C.render("user", "a")[0] and made[2].context == made[1].context + made[1].target
 
 
+def test_expansion_streams_every_example(spark, monkeypatch):
+    monkeypatch.setattr(C, "ADDED", 3)
+    turns = [(1, k, "assistant" if k in (1, 2, 9) else "user", f"t{k} <|") for k in range(12)] + [(2, 0, "user", "x"), (3, 0, "assistant", "y"), (None, 0, "assistant", None)]
+    segs = C.segments(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).coalesce(1)
+    rows = C.expand(segs).collect()
+    made = {(r.conv_id, r.target_seq): r for r in C.examples(segs).collect()}
+    text, seen = {}, set()
+    for r in rows:
+        assert 1 <= len(r.added) <= 4
+        whole = text[r.conv_id] = text.get(r.conv_id, "") + "".join(r.added)
+        if r.target_seq is not None:
+            want = made[r.conv_id, r.target_seq]
+            seen.add((r.conv_id, r.target_seq))
+            assert whole[r.context_start : r.context_end] == want.context and whole[r.context_end :] == want.target
+            assert (r.loss_start, r.loss_end) == (want.loss_start, want.loss_end)
+    assert seen == set(made) == {(1, 1), (1, 2), (1, 9), (3, 0), (None, 0)} and text[1].count(C.START) == 12
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li>menu</li></ul></nav>
 <div class="ad">buy</div><article><h1>Head &amp; more</h1><p>One   two<br>three<p>Four <b>five</article><form>x</form><div id="comments"><p>me too</p></div><footer>&copy; x</footer></body>"""
 
