@@ -132,7 +132,9 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS
     found = []
     # Components that come as floats are shuffled as floats; all arithmetic is in double precision.
     narrow = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
-    for width in sorted(r[0] for r in classes.select(F.size("v").alias("w")).distinct().limit(1000).collect()):
+    # Every width that can hold a pair: a number for each, whatever the input. Each takes a plan of its own.
+    widths = classes.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).where("n > 1")
+    for width in sorted(r.w for r in widths.collect()):
         some = classes.where(F.size("v") == width)
         some = some.withColumn("v", F.col("v").cast("array<float>")) if narrow else some
         sample = some.orderBy(F.xxhash64("k"), "k").limit(16 * pivots).select("v").collect()

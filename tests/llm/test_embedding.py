@@ -44,6 +44,13 @@ def test_odd_rows_and_tiles(spark):
     assert E.dedup(df.limit(0)).count() == 0
 
 
+def test_no_width_is_left_out(spark):
+    rows = [(w, [1.0] * w, 1) for w in range(1, 1203)] + [(w + 5000, [1.0] * (w - 1) + [1.001], 1) for w in (134, 708, 1196)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in E.dedup(df).collect()}
+    assert got == {i: i - 5000 if i > 5000 else i for i, _, _ in rows}
+
+
 def test_recall_near_the_threshold():
     rng = np.random.default_rng(5)
     x = E.unit(rng.normal(size=(4000, 64)))
