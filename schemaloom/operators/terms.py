@@ -83,7 +83,7 @@ def triples(tokens: DataFrame, classes: DataFrame, least: int = 1) -> DataFrame:
     below a preposition; each end is the longest class that ends at its token; equal ends are dropped."""
     t = tokens.select("sent_id", F.col("tokens").alias("all"), F.explode("tokens").alias("t"))
     ends = t.select("sent_id", F.col("t.i").alias("i"), F.col("t.dep").alias("dep"), F.col("t.head").alias("head"), F.explode(F.expr(f"transform(sequence(1, least({MAX_TOKENS}, t.i + 1)), n -> named_struct('n', n, 'term', lower(array_join(transform(slice(all, t.i - n + 2, n), x -> x.lemma), ' '))))")).alias("s"))
-    ends = ends.join(F.broadcast(classes.select(F.col("term").alias("name")).limit(10_000)), F.col("s.term") == F.col("name"))
+    ends = ends.join(classes.select(F.col("term").alias("name")), F.col("s.term") == F.col("name"))
     ends = ends.groupBy("sent_id", "i", "dep", "head").agg(F.max_by("name", "s.n").alias("name"))
     verbs = t.where("t.pos in ('VERB', 'AUX') and t.lemma <> 'be'").select("sent_id", F.col("t.i").alias("verb_i"), F.lower("t.lemma").alias("verb"))
     preps = t.where("t.dep = 'prep'").select("sent_id", F.col("t.i").alias("prep_i"), F.col("t.head").alias("verb_i"))

@@ -105,6 +105,12 @@ def test_triples(spark):
     assert {r.term for r in R.spans(parsed(spark, longest)).collect()} == {"vendor", "maintenance", "request", "maintenance request"}
 
 
+def test_triples_of_many_classes(spark):
+    manages = [("owner", "NOUN", "nsubj", 1), ("manage", "VERB", "ROOT", 1), ("property", "NOUN", "dobj", 1)]
+    classes = spark.range(12_000).select(F.concat(F.lit("class "), "id").alias("term")).union(spark.createDataFrame([("owner",), ("property",)], "term string"))
+    assert [tuple(r)[:3] for r in R.triples(parsed(spark, manages), classes).collect()] == [("owner", "manage", "property")]
+
+
 def test_recovery():
     good = '{"classes": [{"name": "A {b} \\" c"}]}'
     for text in (good, "pre " + good + " post", 'decoy {"x": 1} then ' + good):
