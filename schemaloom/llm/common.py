@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -47,6 +47,21 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that ``spread_join`` sends by broadcast at most.
+HOT_KEYS = 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with small(key, n, ...), one row for each key, n being the rows of ``big`` that have it.
+
+    Keys that hold more than a share of 1 / ``HOT_KEYS`` of all ``total`` rows, fewer than ``HOT_KEYS`` whatever the
+    input, are broadcast, so their rows stay where they are; of the others none has more than that share."""
+    hot = F.broadcast(small.where(F.col("n") * HOT_KEYS > total))
+    light = small.where(F.col("n") * HOT_KEYS <= total)
+    rest = big.join(hot.select(key), key, "left_anti")
+    return big.join(hot, key).drop("n").unionByName(rest.join(light, key, how).drop("n"))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote for these, once nothing reads it any more."""
     spark = frames[0].sparkSession

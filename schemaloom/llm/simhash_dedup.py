@@ -1,13 +1,19 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
-Fingerprints are computed in one pass over the texts. Equal fingerprints become one class. Classes are
-routed by pigeonhole keys: with radius r the 64 bits are cut into r+1 blocks, one of which must be equal,
-and the rest again into r+1, so each class goes to (r+1)^2 small buckets. Each bucket is joined by the
-Gray-order index and gives only a spanning forest of its links, never all pairs. Components are then
-found with distributed star rounds.
-
-Null texts count as empty; texts without words have fingerprint 0, linked like any other. Repeated rows
-stay repeated. Rows whose id is null keep their fingerprint and get their group's component.
+Fingerprints are computed in one pass over the texts (A-Z lower-cased). Equal fingerprints become one class. For a
+radius r the classes are put in r + 1 Gray orders, each with another of r + 1 blocks of bits rotated to the front: two
+codes within r bits have one block in common, so in that order the beginnings of their codes are equal. Each order is
+sorted by Gray rank in ranges of about ``RANGE`` codes and cut into groups of equal beginnings, as many bits of the block
+as leave about ``GROUP`` codes in a group. In a group the hierarchical index finds the links: upper nodes hold the bit
+patterns that Gray neighbours share, and whole groups are pruned by their accumulated differences. A group that
+several ranges hold goes on between ranges: each range's shared pattern is its upper node, and only ranges whose
+patterns are within the radius meet. Tasks return spanning forests of links, never all pairs. Components are then found
+with distributed star rounds.
+
+Null texts count as empty; texts without words have fingerprint 0, linked like any other. A text is handled whole,
+whatever its length. Repeated rows stay repeated. Rows whose id is null keep their fingerprint and get their group's
+component (null where all ids of the group are). Ties don't occur: a link depends on two fingerprints only. An empty
+table gives no rows. Other columns of the table, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -18,22 +24,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schemaloom.llm.common import discard, map_rows, materialise, mix, table
+from schemaloom.llm.common import discard, map_rows, materialise, mix, spread_join, table
 from schemaloom.llm.components import components
 from schemaloom.llm.gray_index import Forest, GrayIndex, gray_rank
 
 SHINGLE, RADIUS, TILE = 3, 3, 512
+#: Codes in a range of a Gray order, and in a group of it.
+RANGE, GROUP = 1 << 16, 1 << 11
 #: For similarity of sets: minima by band, bands, and the radii at which the fingerprints in a bucket are linked.
 ROWS, BANDS, RADII = 6, 20, (3, 6, 9, 12, 16)
 _MASKS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_MASKS) | np.uint64(1)
+_TOP = np.uint64(1 << 63)
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     """Majority bits of the XXH64 (seed 42) of all shingles of ``width`` words, as a signed 64-bit value."""
-    words = (text or b"").split()
+    words = (text or b"").lower().split()  # of bytes: lowers A-Z only
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
@@ -49,46 +59,42 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), lambda: lambda i, t: (i, fingerprint(t, width)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def routes(radius: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """Bit ranges (shift, width) of the outer blocks, each with those of its inner blocks over the other bits."""
-    cut = [64 * k // (radius + 1) for k in range(radius + 2)]
-    out = []
-    for a, b in zip(cut, cut[1:]):
-        rest = 64 - (b - a)
-        inner = [rest * k // (radius + 1) for k in range(radius + 2)]
-        out.append((a, b - a, [(x, y - x) for x, y in zip(inner, inner[1:])]))
-    return out
+def ranks(codes: np.ndarray) -> np.ndarray:
+    """Gray ranks as signed values of the same order."""
+    return (gray_rank(codes) ^ _TOP).view(np.int64)
 
 
-def _keys(fp: pa.Array, radius: int) -> np.ndarray:
-    """Bucket keys, one row for each fingerprint."""
-    x = fp.to_numpy(zero_copy_only=False).view(np.uint64)
-    u, cols = np.uint64, []
-    for n, (shift, width, inner) in enumerate(routes(radius)):
-        block = (x >> u(shift)) & u((1 << width) - 1)
-        rest = (x & u((1 << shift) - 1)) | ((x >> u(shift + width)) << u(shift) if shift + width < 64 else u(0))
-        for k, (s, w) in enumerate(inner):
-            part = (rest >> u(s)) & u((1 << w) - 1)
-            cols.append(bucket_key(u(n * 64 + k), block, part))
-    return np.stack(cols, 1)
+def codes_of(rank: np.ndarray) -> np.ndarray:
+    """The codes of such ranks."""
+    r = rank.view(np.uint64) ^ _TOP
+    return r ^ (r >> np.uint64(1))
 
 
-def bucket_key(route, block: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """The key of a bucket: its route and both bit ranges side by side (at most 6+32+26 bits)."""
-    return (route << np.uint64(52)) ^ (block << np.uint64(26)) ^ part
+def orders(codes: np.ndarray, radius: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, rank), a column for each of radius + 1 orders: the order and the first ``bits`` bits of its block, and the
+    Gray rank of the code with that block rotated to the front."""
+    u, keys, places = np.uint64, [], []
+    for k in range(radius + 1):
+        shift = u(64 * k // (radius + 1))
+        code = (codes << shift) | (codes >> (u(64) - shift)) if shift else codes
+        keys.append((u(k) << u(32)) | (code >> u(64 - bits) if bits else u(0)) & u(0xFFFFFFFF) | np.zeros_like(codes))
+        places.append(ranks(code))
+    return np.stack(keys, 1).view(np.int64), np.stack(places, 1)
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """classes(rep bigint, fp bigint), distinct in fp -> (a, b): a spanning forest of each bucket's links."""
+def near_links(classes: DataFrame, radius: int = RADIUS, group: int = GROUP, size: int = RANGE) -> DataFrame:
+    """classes(rep bigint, fp bigint), distinct in fp -> (a, b): spanning forests of the links of at most ``radius`` bits."""
+    n = classes.count()
+    bits = min(64 // (radius + 1), max(0, (n // group).bit_length() - 1))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = _keys(b.column(1), radius)
-            m = keys.shape[1]
-            at = pa.array(np.repeat(np.arange(b.num_rows), m))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["key", "rep", "fp"])
+            key, rank = orders(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), radius, bits)
+            at = pa.array(np.repeat(np.arange(b.num_rows), radius + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rank.ravel()), b.column(0).take(at)], names=["key", "rank", "rep"])
 
-    return bucket_links(classes.select("rep", "fp").mapInArrow(route, "key long, rep long, fp long"), (radius,))
+    routed = classes.select("rep", "fp").mapInArrow(route, "key long, rank long, rep long")
+    return bucket_links(routed, (radius,), n * (radius + 1), size=size)
 
 
 def stars(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,66 +111,105 @@ def chains(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[1:][same], at[:-1][same]
 
 
-def bucket_links(routed: DataFrame, radii: tuple[int, ...], tied: Callable = stars) -> DataFrame:
-    """routed(key, rep, fp), all bigint -> (a, b): for each bucket and radius its groups, each tied together by ``tied``."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def links(key, rep, fp):
-            """Of whole buckets, sorted by key."""
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            a, b = [], []
-            for k in np.flatnonzero(np.diff(edge) > 1):
-                r, codes = rep[edge[k] : edge[k + 1]], fp[edge[k] : edge[k + 1]].view(np.uint64)
-                codes, first, of = np.unique(codes, return_index=True, return_inverse=True)
-                x, y = tied(of)
-                a.append(r[x])
-                b.append(r[y])
-                r = r[first]
-                order = np.argsort(gray_rank(codes), kind="stable")
-                r, index = r[order], GrayIndex(codes[order])
-                for radius in radii:
-                    x, y = tied(index.components(radius))
-                    a.append(r[x])
-                    b.append(r[y])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held and held[0][-1][0] != rows[0][-1]:
-                rows = [np.concatenate([*(h[c] for h in held), rows[c]]) for c in range(3)]
-                held = []
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if last:
-                yield from links(*(c[:last] for c in rows))
+def _forests(rank: np.ndarray, rep: np.ndarray, radii: tuple[int, ...], tied: Callable):
+    """Links of one bucket, whose rows are in Gray order: equal codes and, for each radius, groups of the index."""
+    codes, first, of = np.unique(rank, return_index=True, return_inverse=True)
+    yield from _named(rep, tied(of))
+    if len(codes) > 1:
+        rep, index = rep[first], GrayIndex(codes_of(codes))
+        for radius in radii:
+            yield from _named(rep, tied(index.components(radius)))
+
+
+def _named(rep, pairs):
+    if len(pairs[0]):
+        yield rep[pairs[0]], rep[pairs[1]]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Runs of rows with equal first ``keys`` columns, all columns being numbers, over batches."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        new = np.zeros(len(cols[0]), bool)
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        cut = [0, *np.flatnonzero(new).tolist(), len(cols[0])]
+        for a, e in zip(cut, cut[1:]):
+            part = [c[a:e] for c in cols]
+            if held and any(held[0][k][0] != part[k][0] for k in range(keys)):
+                yield [np.concatenate(c) for c in zip(*held)]
                 held = []
-            held.append([c[last:] for c in rows])
-        if held:
-            yield from links(*(np.concatenate([h[c] for h in held]) for c in range(3)))
-
-    return routed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
+            held.append(part)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def bucket_links(routed: DataFrame, radii: tuple[int, ...], rows: int, tied: Callable = stars, size: int = RANGE) -> DataFrame:
+    """routed(key, rank, rep), all bigint, about ``rows`` rows -> (a, b): for each bucket (key) and radius its groups, each
+    tied together by ``tied``.
+
+    Buckets lie in ranges of about ``size`` rows by (key, rank). What a range holds of a bucket is joined there. Only a
+    range's first and last bucket may go on in other ranges; their rows are kept, and two ranges of a bucket are joined
+    where the patterns that their codes share differ in no more bits than the last radius."""
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, at = TaskContext.get().partitionId(), None, 0
+
+        def edge(g):
+            key, rank, rep = g
+            return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rank), pa.array(key), pa.array(np.full(len(key), part, np.int64))], names=["a", "b", "key", "part"])
+
+        for g in _grouped(batches, 1):
+            if at == 0:
+                yield edge(g)
+            before, at = g, at + 1
+            for a, b in _forests(g[1], g[2], radii, tied):
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], names=["a", "b", "key", "part"])
+        if at > 1:
+            yield edge(before)
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, rank, rep in _grouped(batches, 3):
+            at = np.argsort(rank, kind="stable")
+            for a, b in _forests(rank[at], rep[at], radii, tied):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    ranged = routed.repartitionByRange(max(1, -(-rows // size)), "key", "rank").sortWithinPartitions("key", "rank")
+    found = materialise(ranged.mapInArrow(inside, "a long, b long, key long, part long"))
+    edges = found.where("key is not null").select("key", "part", F.col("b").alias("rank"), F.col("a").alias("rep"))
+    plain = F.col("rank").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    code = plain.bitwiseXOR(F.shiftrightunsigned(plain, 1))
+    nodes = edges.withColumn("c", code).groupBy("key", "part").agg(F.bit_and("c").alias("every"), F.bit_or("c").alias("some"))
+    other = nodes.select("key", F.col("part").alias("t2"), F.col("every").alias("every2"), F.col("some").alias("some2"))
+    apart = F.bit_count(F.expr("(every ^ every2) & ~(every ^ some) & ~(every2 ^ some2)"))
+    pairs = nodes.withColumnRenamed("part", "t1").join(other, "key").where(F.col("t1") < F.col("t2")).where(apart <= max(radii)).select("key", "t1", "t2")
+    meet = pairs.select("key", "t1", "t2", F.explode(F.array("t1", "t2")).alias("part"))
+    dealt = edges.join(meet, ["key", "part"]).select("key", "t1", "t2", "rank", "rep")
+    across = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(between, "a long, b long")
+    return found.where("key is null").select("a", "b").union(across)
 
 
 def groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links of at most ``radius`` bits."""
     prints = materialise(fingerprints(docs, width))
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     found = components(near_links(classes.where("rep is not null"), radius))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialise(classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")))
+    return spread_join(prints, named, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def sketch(text: bytes | None, width: int) -> tuple[int, int, bytes, bytes]:
     """(digest, fp, bands, hashes) of the set of a text's shingles of ``width`` words.
 
     The digest is one for each set; fp has the majority bits of the set; bands are ``BANDS`` values, one of which two
-    sets share with a chance of 1 - (1 - j^ROWS)^BANDS at a similarity of j (0.998 at 0.8); hashes are 32 bits a shingle.
+    sets share with a chance of 1 - (1 - j^ROWS)^BANDS at a similarity of j (0.998 at 0.8); hashes are 64 bits a shingle,
+    in order.
     """
-    words = (text or b"").split()
+    words = (text or b"").lower().split()
     shingles = set(map(b" ".join, zip(*(words[k:] for k in range(width))))) if len(words) >= width else {b" ".join(words)} - {b""}
     h = np.array([xxhash.xxh64_intdigest(s, seed=42) for s in shingles], np.uint64)
     h.sort()
@@ -176,12 +221,12 @@ def sketch(text: bytes | None, width: int) -> tuple[int, int, bytes, bytes]:
     fp = int(np.packbits(2 * ones > len(h)).view(">i8")[0])
     bands = [xxhash.xxh64_intdigest(b.tobytes(), seed=k) for k, b in enumerate(low.reshape(BANDS, ROWS))]
     digest = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
-    return digest, fp, np.array(bands, np.uint64).tobytes(), np.unique(h >> np.uint64(32)).astype(np.uint32).tobytes()
+    return digest, fp, np.array(bands, np.uint64).tobytes(), h.tobytes()
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sorted sets of 32-bit hashes; two empty ones are equal."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    """Of two sorted sets of 64-bit hashes; two empty ones are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
@@ -199,12 +244,12 @@ def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int
     used = sets.join(dealt.select(F.col("rep").alias("digest")).distinct(), "digest", "left_semi").dropDuplicates(["digest"])
 
     def join(key, rows):
-        size = pc.binary_length(rows["hashes"]).to_numpy() // 4
+        size = pc.binary_length(rows["hashes"]).to_numpy() // 8
         rows = rows.take(pa.array(np.argsort(size, kind="stable")))
         rep, side = rows["rep"].to_numpy(), rows["mine"].to_numpy()
-        size = pc.binary_length(rows["hashes"]).to_numpy() // 4
+        size = pc.binary_length(rows["hashes"]).to_numpy() // 8
         start = np.cumsum(size) - size
-        word = np.unique(np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint32), return_inverse=True)[1].astype(np.int32)
+        word = np.unique(np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint64), return_inverse=True)[1].astype(np.int32)
         part = np.unique(rows["part"].to_numpy(), return_inverse=True)[1]
         forest, held = Forest(int(part.max()) + 1), np.zeros(len(word), bool)
         # Sizes grow, so the sets that can be alike are those up to a size; one without words has no such set.
@@ -234,27 +279,33 @@ def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int
     return found
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id): documents linked where their sets of ``width``-word shingles are ``similarity`` alike.
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = TILE, extra: tuple[str, ...] = (), size: int = RANGE) -> DataFrame:
+    """(doc_id, *extra, component_id, group): documents linked where their sets of ``width``-word shingles (A-Z lower-cased)
+    are ``similarity`` alike.
 
-    Equal sets become one class. At that similarity fingerprints differ in about 10 bits, too many for pigeonhole
-    blocks, so classes are routed by ``BANDS`` minima of their sets instead; the Gray-order index of each bucket gives
+    Equal sets become one class. At that similarity fingerprints differ in about 10 bits, too many for blocks of bits in
+    common, so classes are routed by ``BANDS`` minima of their sets instead; the Gray-order index of each bucket gives
     groups at growing ``RADII``, each tied together as a chain of Gray neighbours (no text has a hub's number of links),
     and only links whose similarity holds on the whole sets are used. Where they leave a bucket in several parts,
     ``rest_links`` verifies the pairs between them.
-    component_id is the smallest doc_id of the group (null only where all its ids are). Texts without words are equal.
-    Repeated rows stay repeated.
+    component_id is the smallest doc_id of the group (null only where all its ids are); group tells groups apart. Texts
+    without words are equal. Repeated rows stay repeated.
     """
-    prints = materialise(map_rows(docs.select("doc_id", "text"), lambda: lambda i, t: (i, *sketch(t, width)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, fp long, bands binary, hashes binary"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *extra))
+    prints = materialise(map_rows(docs.select("text", "doc_id", *extra), lambda: lambda t, *ids: (*ids, *sketch(t, width)), f"{kinds}, digest long, fp long, bands binary, hashes binary"))
     classes = materialise(prints.groupBy("digest").agg(F.min(F.struct("fp", "bands")).alias("x")).select("digest", "x.*"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(digest, fp or part, bands) -> a row for each band."""
         for b in batches:
             keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
             at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(at), b.column(1).take(at)], names=["key", "rep", b.schema.names[1]])
+            second = b.column(1)
+            if b.schema.names[1] == "fp":
+                second = pa.array(ranks(second.to_numpy(zero_copy_only=False).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), second.take(at), b.column(0).take(at)], names=["key", b.schema.names[1].replace("fp", "rank"), "rep"])
 
-    found = bucket_links(classes.mapInArrow(route, "key long, rep long, fp long"), RADII, chains)
+    found = bucket_links(classes.select("digest", "fp", "bands").mapInArrow(route, "key long, rank long, rep long"), RADII, classes.count() * BANDS, chains, size)
     links = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "digest")
     sets = materialise(prints.select("digest", "hashes").join(ends, "digest", "left_semi").dropDuplicates(["digest"]))
@@ -262,12 +313,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, til
     checked = map_rows(pairs.select("a", "b", "x", "y"), lambda: lambda a, b, x, y: (a, b, jaccard(x, y) >= similarity), "a long, b long, near boolean")
     linked = materialise(components(checked.where("near").select("a", "b")))
     parts = classes.join(linked, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("component", "digest").alias("part"), "bands")
-    rest = rest_links(parts.mapInArrow(route, "key long, rep long, part long"), prints.select("digest", "hashes"), similarity, tile)
+    rest = rest_links(parts.mapInArrow(route, "key long, part long, rep long"), prints.select("digest", "hashes"), similarity, tile)
     linked = components(rest.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    member = prints.select("doc_id", "digest").join(linked, F.col("digest") == F.col("node"), "left").select("doc_id", F.coalesce("component", "digest").alias("group"))
-    member = materialise(member)
-    discard(prints, classes, links, sets)
-    return member.join(member.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "component_id")
+    per = prints.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
+    per = materialise(per.join(linked, F.col("digest") == F.col("node"), "left").select("digest", "n", "low", F.coalesce("component", "digest").alias("group")))
+    named = spread_join(per.select("digest", F.col("n").alias("rows"), "group"), per.groupBy("group").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "group", per.count())
+    named = materialise(named.withColumnRenamed("rows", "n"))
+    out = materialise(spread_join(prints.select("doc_id", *extra, "digest"), named, "digest", prints.count()).select("doc_id", *extra, "component_id", "group"))
+    discard(prints, classes, links, sets, per, named)
+    return out
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -25,7 +26,8 @@ def closure(n, pairs):
 
 
 def slow_fingerprint(text, width=3):
-    words = [w for w in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", low)
     if not words:
         return 0
     sh = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
@@ -63,7 +65,7 @@ def test_components(spark):
 
 def test_groups_on_table_and_odd_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    odd = [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "one"), (9005, "one two"), (9006, "é ü 漢"), (9006, "é ü 漢"), (9007, "w " * 30000), (None, "one")]
+    odd = [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "one"), (9005, "one two"), (9010, "ONE Two"), (9011, "É é Z \x1c z\u00a0Z"), (9012, "é é z"), (9006, "é ü 漢"), (9006, "é ü 漢"), (9007, "w " * 30000), (None, "one")]
     docs = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("fp", F.lit("clash"))
     rows = docs.select("doc_id", "text").collect()
     f = [slow_fingerprint(r.text) if r.text is None or len(r.text) < 50000 else None for r in rows]
@@ -141,3 +143,26 @@ def test_alike_over_the_last_radius(spark, seed):
     assert S.jaccard(x[3], y[3]) >= 0.8 and ((x[1] ^ y[1]) % 2**64).bit_count() > S.RADII[-1]
     docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
     assert [r.component_id for r in S.similar_groups(docs).collect()] == [1, 1]
+
+
+def test_contract_over_every_document(spark):
+    """op7 as its contract reads, over all rows of a table."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, slow_fingerprint(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows.sort()
+    want = closure(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (rows[a][1] ^ rows[b][1]).bit_count() <= 3])
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in S.op7_simhash_dedup(spark, sf).collect())
+    assert got == [(i, f"{f:016x}", rows[c][0]) for (i, f), c in zip(rows, want)]
+
+
+@pytest.mark.parametrize("group,size", [(4, 16), (1 << 11, 50), (64, 1 << 16)])
+def test_links_over_ranges_equal_brute_force(spark, group, size):
+    rng = random.Random(size)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    codes = {c ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(60)} | {rng.getrandbits(64) for _ in range(200)}
+    codes = sorted(codes)
+    want = closure(len(codes), [(i, j) for i in range(len(codes)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() <= 3])
+    classes = spark.createDataFrame([(i, c - (c >> 63 << 64)) for i, c in enumerate(codes)], "rep long, fp long")
+    links = [tuple(r) for r in S.near_links(classes, group=group, size=size).collect()]
+    assert all((codes[a] ^ codes[b]).bit_count() <= 3 or want[a] == want[b] for a, b in links)
+    assert closure(len(codes), links) == want
