@@ -1,8 +1,13 @@
 """Chat formatting, HTML extraction, packing and the pipeline."""
 
 import hashlib
+import os
+import random
+import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.llm import chat_format as C, html_extract as H, packing as P
@@ -50,9 +55,35 @@ PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</s
 <div class="ad">buy</div><article><h1>Head &amp; more</h1><p>One   two<br>three<p>Four <b>five</article><form>x</form><div id="comments"><p>me too</p></div><footer>&copy; x</footer></body>"""
 
 
+def kept(html):
+    return [(t, main) for t, main, furniture in H.lines(html) if not furniture]
+
+
 def test_lines():
-    assert H.lines(PAGE) == [("Head & more", True), ("One two three", True), ("Four five", True)]
-    assert H.lines("") == [] and H.lines("plain <i>te</i>xt") == [("plain text", False)]
+    assert kept(PAGE) == [("Head & more", True), ("One two three", True), ("Four five", True)]
+    assert H.lines("") == [] and kept("plain <i>te</i>xt") == [("plain text", False)]
+    assert kept("<p>a <span class=ad>buy</span> b</p>c") == [("a b", False), ("c", False)]
+    assert kept("a < b <c") == [("a < b <c", False)] and kept('<svg/>x<p title="a>b">y</p>') == [("x", False), ("y", False)]
+
+
+def test_marks_are_whole_words_of_the_element_itself():
+    for around in ('<div class="layout has-sidebar">', '<div class="overflow-hidden">', "<form>", '<div id="sidebar">'):
+        assert kept(f"<body>{around}<article>x</article>") == [("x", True)]
+    assert kept('<article>a<p class="social-history">b</p><section id="related-work">c</section></article>') == [(x, True) for x in "abc"]
+    assert kept('<div class="sidebar"><article>t</article></div><article>m</article>') == [("m", True)]
+    for gone in ('class="site-footer"', 'class="x comment-list"', "id=cookie-notice", "hidden", 'style="display: none"', "role=navigation"):
+        assert kept(f"<p>a</p><div {gone}>b<p>c</p></div>") == [("a", False)], gone
+
+
+def test_time_grows_with_the_page():
+    for piece in ("<a ", '<a ="x>y" ', '<a "', "<div>", "<b></i>", "<p>", "<!--", "<script>", "<li><b>", '<div class="nav">', "&amp;<"):
+        began = time.time()
+        H.lines(piece * 50_000)
+        assert time.time() - began < 10, piece
+    rng = np.random.default_rng(0)
+    began = time.time()
+    assert 400 < H.shared(rng.permutation(50_000), rng.permutation(50_000)).sum() < 450
+    assert time.time() - began < 30
 
 
 def test_shared_is_a_longest_common_subsequence():
@@ -89,6 +120,50 @@ def test_text_outside_the_article_stays(spark):
     assert {r.n_shared for r in got} == {2}
 
 
+def slow_extract(rows):
+    """Differencing as the docstring tells it, page by page."""
+    pages = [(re.match("(?:[a-z]+:)?//([^/?#]*)([^?#]*)", u).groups() if u else None, i, H.lines(h or "")) for i, u, h in rows]
+    order = sorted((k for k, p in enumerate(pages) if p[0]), key=lambda k: (pages[k][0][0].lower(), pages[k][0][1], pages[k][1] is not None, pages[k][1] or 0))
+    out = []
+    for k, (where, i, found) in enumerate(pages):
+        drop = set()
+        if where:
+            texts, at, beside = [x[0] for x in found], order.index(k), []
+            for step in (-1, 1):
+                j = at + step
+                while 0 <= j < len(order) and pages[order[j]][0][0].lower() == where[0].lower() and [x[0] for x in pages[order[j]][2]] == texts:
+                    j += step
+                if 0 <= j < len(order) and pages[order[j]][0][0].lower() == where[0].lower():
+                    beside.append(pages[order[j]])
+            if beside:
+                partner = max(beside, key=lambda p: len(os.path.commonprefix([p[0][1], where[1]])))
+                mine, theirs = [n for n, x in enumerate(found) if not x[1]], [x[0] for x in partner[2] if not x[1]]
+                hit = H.shared(H._hashes([found[n] for n in mine]), H._hashes([(t,) for t in theirs]))
+                drop = {mine[n] for n in np.flatnonzero(hit)}
+        out.append((-1 if i is None else i, "\n".join(x[0] for n, x in enumerate(found) if n not in drop and not x[2]), len(drop)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_differencing_equals_brute_force(spark, seed):
+    """Pages without landmarks: template lines per host, rows that repeat, mirrors, hosts of one page, odd rows."""
+    rng = random.Random(seed)
+    rows = []
+    for host in ("a.example", "B.example", "one.example"):
+        template = [f"<div>{host} {w}</div>" for w in ("home", "about", "imprint", "terms")]
+        for k in range(1 if host[0] == "o" else 40):
+            body = [f"<p>{rng.choice('xyzuvw')} {rng.randint(0, 3000)}</p>" for _ in range(rng.randint(0, 5))]
+            html = "".join(template[:2] + body + rng.sample(template[2:], 2))
+            rows.append((len(rows), f"http://{host}/{rng.choice(['en', 'de'])}/{rng.randint(0, 15)}?q={k}", html))
+            if rng.random() < 0.4:
+                rows += [(len(rows) + n, rows[-1][1], html) for n in range(rng.randint(1, 4))]
+    rows += [rows[3], (900, None, rows[5][2]), (901, rows[5][1], None), (902, rows[7][1], "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7).withColumn("digest", F.lit(0))
+    got = sorted((r.page_id, r.text, r.n_shared) for r in H.extract(df).collect())
+    assert got == slow_extract(rows)
+    assert sum(r[2] for r in got) > 100
+
+
 def test_packing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
     odd = [(-1, None, "s"), (-2, "", None), (-3, "w " * 5000, None), (-4, "same text", "s"), (-4, "same text", "s"), (None, "x y", "s")]
