@@ -3,12 +3,16 @@
 A notice of length m with at most k edits is split into k+1 pieces; by the pigeonhole principle any
 occurrence within k edits holds one piece unchanged. Exact search for the pieces gives candidate
 spans, and the ``regex`` library's bounded-error matching verifies each one and reports its edits.
-One pass over the table, no shuffle. Null texts count as empty; every row gives one row.
+One pass over the table, no shuffle.
+
+Null and empty texts have no words, a score of 0 and null places; every row, repeated ones and those with a null id too,
+gives one row, and an empty table none. Texts are searched whole, in time that grows with their length. Labels are sorted,
+so ties have no order to choose; of several notices with one label each is reported. Other columns of the table, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations
 
-
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,18 +21,18 @@ from schemaloom.llm.common import map_rows, table
 # Phrases whose exact places are counted, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Notices searched with up to the given number of edits.
+# Notices searched with up to the given number of edits, and a word that has to stand unchanged (or none).
 NOTICES = (
-    ("general public license", "gpl", 3),
-    ("all rights reserved", "reserved", 2),
-    ("licensed under cc by", "cc-by", 2),
-    ("creative commons attribution", "cc-by", 3),
-    ("the mit license", "mit", 2),
-    ("permission is hereby granted free of charge", "mit", 4),
-    ("the apache license", "apache", 2),
-    ("redistribution and use in source and binary forms", "bsd", 4),
-    ("mozilla public license", "mpl", 3),
-    ("dedicated to the public domain", "public-domain", 3),
+    ("general public license", "gpl", 3, ""),
+    ("all rights reserved", "reserved", 2, ""),
+    ("licensed under cc by", "cc-by", 2, "cc"),
+    ("creative commons attribution", "cc-by", 3, ""),
+    ("the mit license", "mit", 2, "mit"),
+    ("permission is hereby granted free of charge", "mit", 4, ""),
+    ("the apache license", "apache", 2, ""),
+    ("redistribution and use in source and binary forms", "bsd", 4, ""),
+    ("mozilla public license", "mpl", 3, ""),
+    ("dedicated to the public domain", "public-domain", 3, ""),
 )
 
 # Bytes kept in words, A-Z lower-cased; every other ASCII byte separates words.
@@ -47,19 +51,20 @@ class Scanner:
     def __init__(self, base=BASE, notices=NOTICES):
         self.base = [(b" " + p.encode() + b" ", label) for p, label in base]
         self.notices = []
-        for phrase, label, k in notices:
+        for phrase, label, k, core in notices:
             p = phrase.encode()
             verify = regex.compile(rb"(?e)(?<= )(?:" + regex.escape(p, literal_spaces=True) + rb"){e<=%d}(?= )" % k)
-            self.notices.append((label, k, len(p), pieces(p, k), verify))
+            self.notices.append((label, k, len(p), pieces(p, k), verify, b" %s " % core.encode() if core else b""))
 
     def __call__(self, text: bytes | None):
         words = (text or b"").translate(_FOLD).split()
         canon = b" " + b" ".join(words) + b" "
         places, base_labels = [], set()
         for needle, label in self.base:
-            at = canon.find(needle)
+            at, place, counted = canon.find(needle), 0, 0
             while at >= 0:
-                places.append(canon.count(b" ", 0, at))
+                place, counted = place + canon.count(b" ", counted, at), at
+                places.append(place)
                 base_labels.add(label)
                 at = canon.find(needle, at + 1)
         spans = [s for n in self.notices for s in self._fuzzy(canon, *n)]
@@ -70,7 +75,7 @@ class Scanner:
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, spans
 
     @staticmethod
-    def _fuzzy(canon: bytes, label: str, k: int, length: int, seeds, verify):
+    def _fuzzy(canon: bytes, label: str, k: int, length: int, seeds, verify, core: bytes):
         windows = []
         for offset, seed in seeds:
             at = canon.find(seed)
@@ -86,9 +91,13 @@ class Scanner:
                 merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
                 merged.append((a, b))
+        spaces = counted = 0
         for a, b in merged:
             for m in verify.finditer(canon, a, b):
-                first = canon.count(b" ", 0, m.start()) - 1
+                if core not in b" %s " % m.group():
+                    continue
+                spaces, counted = spaces + canon.count(b" ", counted, m.start()), m.start()
+                first = spaces - 1
                 yield {"label": label, "first_word": first, "last_word": first + m.group().count(b" "), "edits": sum(m.fuzzy_counts), "length": length}
 
 

@@ -6,8 +6,12 @@ and a bitmap of its duplicate clusters (one piece of each). A piece goes to the
 that bin conflicts the successor search goes on to the next larger one; without any a new bin opens.
 
 Packing is local to shards: rows are dealt by a hash of their id into shards of about ``SHARD_WORDS`` words,
-so a hot source or cluster is spread over all shards and no task grows with the input. Only ids, sources,
-lengths and a hash of the text are shuffled. Null texts and texts without words give no piece.
+so a hot source or cluster, or a row that repeats, is spread over all shards and no task grows with the input. Only ids,
+sources, lengths and a hash of the text are shuffled.
+
+Null texts and texts without words give no piece; a text longer than ``CAPACITY`` gives several, which are packed apart.
+Repeated rows are pieces of their own and of one cluster. Null ids are kept and come last among pieces of a size; ids may
+be numbers or strings. An empty table gives no rows. Of the table's other columns only ``cluster`` is read.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from schemaloom.llm.common import map_rows, materialise, table
 
@@ -66,7 +71,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, s
     """(doc_id, piece, first_word, n_words, shard, bin, position, offset): every word of every text, once.
 
     docs(doc_id, text, source and, if it has one, cluster); without a cluster column equal texts are one
-    cluster. Pieces are placed largest first, ties by id. A null source is a source of its own.
+    cluster. Pieces are placed largest first, ties by id, place and text. A null source is a source of its own.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     has = "cluster" in docs.columns
@@ -83,7 +88,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, s
     sized = materialise(map_rows(rows, make, f"doc_id {kind}, source string, cluster long, n long"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    dealt = sized.where("n > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    dealt = sized.where("n > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id()), F.lit(shards)))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +105,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, s
 
     def placed(shard, rows) -> pa.RecordBatch:
         pieces = [(min(capacity, n - a), i, k, a, source, cluster) for i, source, cluster, n in rows for k, a in enumerate(range(0, n, capacity))]
-        pieces.sort(key=lambda p: (-p[0], p[1] is None, p[1] or 0, p[2], p[5]))
+        pieces.sort(key=lambda p: (-p[0], p[1] is None, 0 if p[1] is None else p[1], p[2], p[5]))
         packer, out = Packer(capacity, quota), []
         for size, i, k, a, source, cluster in pieces:
             out.append((i, k, a, size, shard, *packer.place(size, source, cluster)))
@@ -108,7 +113,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, s
 
     names = ["doc_id", "piece", "first_word", "n_words", "shard", "bin", "position", "offset"]
     out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:])).schema
-    types = [pa.int64()] * 8
+    types = to_arrow_schema(out).types
     return dealt.select("shard", "doc_id", "source", "cluster", "n").mapInArrow(run, out)
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -33,22 +34,65 @@ def test_base_counts(spark, sf):
 
 def test_edits_within_the_bound_are_found():
     rng, scan = random.Random(2), L.Scanner()
-    for phrase, label, k in L.NOTICES:
+    for phrase, label, k, core in L.NOTICES:
         assert len(L.pieces(phrase.encode(), k)) == k + 1
         for _ in range(30):
             s = list(phrase)
             for _ in range(rng.randint(0, k)):
                 at = rng.randrange(1, len(s) - 1)
-                if rng.random() < 0.5:
-                    s[at] = rng.choice("abcdexyz")
-                else:
-                    s.insert(at, rng.choice("abcdexyz"))
+                t = s[:at] + [rng.choice("abcdexyz")] + s[at + (rng.random() < 0.5) :]
+                s = t if not core or core in "".join(t).split() else s
             labels, spans = scan(f"text before {''.join(s)} and after".encode())[5], scan(f"text before {''.join(s)} and after".encode())[7]
             assert label in labels.split(",")
             assert any(x["first_word"] in (1, 2) and x["edits"] <= k for x in spans if x["label"] == label)
     assert scan(b"nothing of this kind stands here, by and large")[5] == ""
 
 
+def slow_labels(text):
+    """Labels of all notices that some run of whole words is within the edits of, by plain edit distance."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    found = {label for p, label in L.BASE if f" {p} " in f" {' '.join(words)} "}
+    for phrase, label, k, core in L.NOTICES:
+        for a in range(len(words)):
+            row, run = list(range(len(phrase) + 1)), ""
+            for e in range(a, len(words)):
+                for c in (" " if run else "") + words[e]:
+                    new = [row[0] + 1]
+                    for j, x in enumerate(phrase):
+                        new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
+                    row = new
+                run += (" " if run else "") + words[e]
+                if row[-1] <= k and (not core or core in words[a : e + 1]):
+                    found.add(label)
+                if min(row) > k:
+                    break
+    return ",".join(sorted(found))
+
+
+def test_labels_equal_plain_edit_distance():
+    rng, scan = random.Random(9), L.Scanner()
+    filler = "the license of a unit its site mpl public rights all free use in source and general domain by cc mit".split()
+    for _ in range(150):
+        w = [rng.choice(filler) for _ in range(12)]
+        phrase = list(rng.choice(L.NOTICES)[0])
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(phrase))
+            phrase[at] = rng.choice(["", "x", phrase[at] + "e", " "])
+        text = " ".join(w[:6] + ["".join(phrase)] + w[6:])
+        assert scan(text.encode())[5] == slow_labels(text), text
+    for text in ("the site license", "the unit license", "the mpl license", "the its license", "the kit license"):
+        assert scan(text.encode())[5] == ""
+    assert scan(b"under the mit lisence")[5] == "mit" and scan(b"of all rigths reserved")[5] == "reserved"
+
+
+def test_scan_time_grows_with_the_text():
+    scan = L.Scanner()
+    for piece in (b"cc by ", b"the mit license ", b"public license "):
+        began = time.time()
+        assert scan(piece * 60_000)[0] >= 120_000
+        assert time.time() - began < 20, piece
+
+
 def slow_stats(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]

@@ -185,6 +185,50 @@ def test_packing(spark, sf):
     assert P.pack(docs.limit(0)).count() == 0
 
 
+def slow_pack(pieces, capacity, quota):
+    """The documented rule over a plain list of bins: of those with room and without conflict the one with least room,
+    the oldest of equals; else a new one."""
+    bins, out = [], []
+    for size, source, cluster in pieces:
+        free = [b for b in bins if b["room"] >= size and b["s"].count(source) < quota and cluster not in b["c"]]
+        b = min(free, key=lambda b: (b["room"], b["n"]), default=None)
+        if b is None:
+            b = {"n": len(bins), "room": capacity, "s": [], "c": []}
+            bins.append(b)
+        out.append((b["n"], len(b["s"]), capacity - b["room"]))
+        b["room"] -= size
+        b["s"].append(source)
+        b["c"].append(cluster)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_packing_equals_brute_force(spark, kind):
+    rng = random.Random(3)
+    rows = [(i if kind == "long" else f"d{i:04}", " ".join(["w"] * rng.randint(0, 90)) + rng.choice(["", " x", " y"]), rng.choice(["a", "b", None])) for i in range(400)] + [(None, "w w", "a"), (None, "w w w", "a")]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, source string")
+    got = P.pack(docs, capacity=40, quota=2, shard_words=4000).collect()
+    text = {(i, len((t or "").split())): (t, s) for i, t, s in rows}
+    whole = {}
+    for r in got:
+        whole[r.doc_id, r.shard] = whole.get((r.doc_id, r.shard), 0) + r.n_words
+    assert len({r.shard for r in got}) > 2
+    for shard in {r.shard for r in got}:
+        mine = [r for r in got if r.shard == shard]
+        known = lambda r: next((t, s) for (i, n), (t, s) in text.items() if i == r.doc_id and r.first_word + r.n_words <= n)
+        mine.sort(key=lambda r: (-r.n_words, r.doc_id is None, 0 if r.doc_id is None else r.doc_id, r.first_word))
+        if any(r.doc_id is None for r in mine):
+            continue  # two ids of one name can't be told apart here
+        want = slow_pack([(r.n_words, known(r)[1], known(r)[0]) for r in mine], 40, 2)
+        assert [(r.bin, r.position, r.offset) for r in mine] == want
+
+
+def test_repeated_rows_are_spread(spark):
+    docs = spark.range(3000).selectExpr("7L as doc_id", "'a b c d' as text", "'s' as source")
+    sizes = sorted(r["count"] for r in P.pack(docs, shard_words=1200).groupBy("shard").count().collect())
+    assert len(sizes) == 10 and sizes[-1] < 400 and sum(sizes) == 3000
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins = P.Packer(10, 1)
     assert bins.place(6, "a", 1)[0] == 0 and bins.place(7, "b", 2)[0] == 1
