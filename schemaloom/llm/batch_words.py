@@ -1,42 +1,50 @@
-"""Hashes of the words of many texts at once, in numpy.
+"""Names of the words of many texts at once.
 
-A word's hash is the sum over its bytes of a random value of the byte times a power of an odd
-multiplier, modulo 2^64. It is taken from one running sum over all bytes, so no word becomes a
-Python object.
+A word's name is a 128-bit BLAKE2b digest, as two 64-bit halves. Digests are remembered in a bounded memo, so a word that
+comes again costs one look-up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 
-from schemaloom.llm.common import mix
-
 #: Bytes of text handled at a time; a longer text is handled alone.
 CHUNK_BYTES = 1 << 19
+#: Words remembered per Python worker; a text with more new ones is still handled whole.
+MEMO_WORDS = 400_000
 #: Stands after each text.
 SEPARATOR = np.uint64(0xD6E8FEB86659FD93)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x9FB21C651E98DF25
-_BACK = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
+class WordNames(dict):
+    """word -> place of its name."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+        self.names = np.empty((0, 2), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.fresh.append(blake2b(word, digest_size=16).digest())
+        return at
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; the table of the usual length is kept."""
-    keep = max(n, CHUNK_BYTES + 1)
-    if base in _powers and len(_powers[base]) >= n:
-        return _powers[base]
-    out = np.full(keep, base, np.uint64)
-    out[0] = 1
-    np.multiply.accumulate(out, out=out)
-    if keep == CHUNK_BYTES + 1:
-        _powers[base] = out
-    return out
+    def of(self, words: Iterator[bytes], n: int) -> np.ndarray:
+        """Two numbers for each of the n words."""
+        if len(self) + n > MEMO_WORDS:
+            self.clear()
+            self.names = np.empty((0, 2), np.uint64)
+        have = len(self)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        if self.fresh:
+            if len(self.names) < len(self):
+                self.names = np.concatenate([self.names[:have], np.empty((max(len(self), have * 2) - have, 2), np.uint64)])
+            self.names[have : len(self)] = np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)
+            self.fresh.clear()
+        return self.names[at]
 
 
 def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]]:
@@ -51,22 +59,13 @@ def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]
         yield at, texts[at:]
 
 
-def batch_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ends): the words' hashes of all texts in order, SEPARATOR at each of ``ends``."""
-    joined = b" ".join([t or b"" for t in texts]) + b" "
-    data = np.frombuffer(joined, np.uint8)
-    space = _SPACE[data]
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_VALUE[data] * powers(_BASE, len(data))[: len(data)], out=sums[1:])
-    change = np.flatnonzero(np.diff(space, prepend=True))
-    first, last = change[::2], change[1::2]
-    words = mix((sums[last] - sums[first]) * powers(_BACK, len(data))[first])
-    text_ends = np.cumsum([len(t or b"") + 1 for t in texts]) - 1
-    before = np.searchsorted(first, text_ends)  # words up to each text's end
-    ends = before + np.arange(len(texts))
-    out = np.full(len(words) + len(texts), SEPARATOR)
+def batch_words(texts: list[bytes | None], names: WordNames) -> tuple[np.ndarray, np.ndarray]:
+    """(names, ends): the names of the words of all texts in order, two numbers each, SEPARATOR at each of ``ends``."""
+    words = [(t or b"").split() for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.full((int(sizes.sum()) + len(texts), 2), SEPARATOR)
     inside = np.ones(len(out), bool)
     inside[ends] = False
-    out[inside] = words
+    out[inside] = names.of(chain.from_iterable(words), int(sizes.sum()))
     return out, ends

@@ -51,15 +51,17 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """``big`` joined with small(key, n, ...), one row for each key, n being the rows of ``big`` that have it.
+def spread_join(big: DataFrame, small: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """``big`` joined with small(*key, n, ...), one row for each key, n being the rows of ``big`` that have it.
 
     Keys that hold more than a share of 1 / ``HOT_KEYS`` of all ``total`` rows, fewer than ``HOT_KEYS`` whatever the
-    input, are broadcast, so their rows stay where they are; of the others none has more than that share."""
+    input, are broadcast, so their rows stay where they are; of the others none has more than that share. ``small`` is
+    read twice, so it should be a written table."""
+    keys = [key] if isinstance(key, str) else key
     hot = F.broadcast(small.where(F.col("n") * HOT_KEYS > total))
     light = small.where(F.col("n") * HOT_KEYS <= total)
-    rest = big.join(hot.select(key), key, "left_anti")
-    return big.join(hot, key).drop("n").unionByName(rest.join(light, key, how).drop("n"))
+    rest = big.join(hot.select(*keys), keys, "left_anti")
+    return big.join(hot, keys).drop("n").unionByName(rest.join(light.hint("shuffle_hash"), keys).drop("n"))
 
 
 def discard(*frames: DataFrame) -> None:

@@ -11,15 +11,18 @@ have equal symbols, and a window can only repeat where its symbol does. Plan:
 
 1. one pass over the texts gives the distinct symbols of each document; an aggregation finds the symbols
    that occur in two documents or more;
-2. the windows behind those shared symbols are hashed in full, and a second aggregation verifies which
-   of them start in a document with a smaller id;
+2. the windows behind those shared symbols are named by 128 bits, made from 128-bit digests of their words,
+   and a second aggregation verifies which of them start in a document with a smaller id;
 3. the covered words are removed from the texts.
 
 Shuffled are symbols (about a fifth of the words) and the windows behind shared ones, with partial
-aggregation, so that a passage in a third of all documents meets in one row per task.
+aggregation, so that a passage in a third of all documents meets in one row per task; the rows of such a
+symbol or window stay where they are when the result is joined back.
 
-Null texts have no words. Repeated doc_ids count as one document: windows are compared by id. A null
-doc_id is nobody's source, and its own windows are never removed.
+Null texts and texts without words have no words; texts are read whole, whatever their length. Repeated
+doc_ids count as one document: windows are compared by id, so equal rows of an id keep their words. A null
+doc_id is nobody's source, and its own windows are never removed. Every row gives one row, an empty table
+none. Other columns of the table, whatever their names, are passed on if asked for and not read.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schemaloom.llm.batch_words import batch_words, chunks
-from schemaloom.llm.common import as_bytes, covered, discard, materialise, mix, release, table, window_hashes
+from schemaloom.llm.batch_words import WordNames, batch_words, chunks
+from schemaloom.llm.common import as_bytes, covered, discard, materialise, mix, release, spread_join, table, window_hashes
 
 WINDOW, ROUNDS = 13, 3
 #: Symbols and candidate windows are compared in so many slices of their hashes, one after another, so that the
@@ -92,28 +95,41 @@ def window_symbols(words: np.ndarray, windows: np.ndarray, width: int = WINDOW,
     return np.where(out == np.iinfo(np.uint64).max, windows, out)
 
 
-def _windows(texts: list[bytes | None], width: int):
-    """(words, windows, ends, whole): hashes of all texts' words and windows, a separator after each text at
-    ``ends``, and the places of the windows without a separator."""
-    words, ends = batch_words(texts)
-    windows = window_hashes(words, width)
+def _windows(texts: list[bytes | None], width: int, names: WordNames):
+    """(words, windows, ends, whole): names of all texts' words (one half) and windows (two halves), a separator after
+    each text at ``ends``, and the places of the windows without a separator."""
+    words, ends = batch_words(texts, names)
+    windows = np.stack([window_hashes(words[:, k], width) for k in (0, 1)], 1)
     before = np.zeros(len(words) + 1, np.int64)
     before[ends + 1] = 1
     before = np.cumsum(before)
     whole = before[width:] == before[: len(before) - width] if len(windows) else np.empty(0, bool)
-    return words, windows, ends, np.flatnonzero(whole)
+    return np.ascontiguousarray(words[:, 0]), windows, ends, np.flatnonzero(whole)
+
+
+def among(mine: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Boolean per row of ``mine``: it is a row of ``found``; rows are pairs of numbers."""
+    if not len(found):
+        return np.zeros(len(mine), bool)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    first, hit = np.searchsorted(found[:, 0], mine[:, 0]), np.zeros(len(mine), bool)
+    most = np.unique(found[:, 0], return_counts=True)[1].max()
+    for k in range(most):
+        hit |= (found[np.minimum(first + k, len(found) - 1)] == mine).all(1)
+    return hit
 
 
 def symbols(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(s, doc_id): the symbols that stand for each document's windows, side-by-side repeats once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames()
         for b in batches:
             for at, texts in chunks(as_bytes(b.column(1)).to_pylist()):
-                words, windows, ends, whole = _windows(texts, width)
+                words, windows, ends, whole = _windows(texts, width, names)
                 if not len(whole):
                     continue
-                s, doc = window_symbols(words, windows, width, rounds)[whole], np.searchsorted(ends, whole)
+                s, doc = window_symbols(words, windows[:, 0], width, rounds)[whole], np.searchsorted(ends, whole)
                 new = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]
                 ids = b.column(0).take(pa.array(at + doc[new]))
                 yield pa.RecordBatch.from_arrays([pa.array(s[new].view(np.int64)), ids], names=["s", "doc_id"])
@@ -125,44 +141,45 @@ def _sliced(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("slice", F.pmod(column, F.lit(SLICES)).cast("int"))
 
 
+def _shared(rows: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Of rows(*keys, doc_id) those whose key several documents have, with the smallest of these (``first_doc``)."""
+    found = rows.groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).where("first_doc < last_doc").drop("last_doc")
+    found = materialise(found)
+    out = materialise(spread_join(rows, found, keys, rows.count()).where(" and ".join(("true", *more))))
+    discard(found)
+    return out
+
+
 def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, ws array<bigint>): per document the hashes of its windows that start in a document with a smaller id."""
+    """(doc_id, ws array<struct<w:bigint,v:bigint>>): per document the names of its windows that start in a document with a smaller id."""
     made = materialise(_sliced(symbols(docs, width, rounds), "s"), by="slice")
-    parts = []
-    for k in range(SLICES):
-        mine = made.where(F.col("slice") == k).select("s", "doc_id")
-        shared = mine.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s")
-        parts.append(materialise(mine.join(shared, "s").select("doc_id", "s")))
-        release(docs.sparkSession)
+    parts = [_shared(made.where(F.col("slice") == k).select("s", "doc_id"), ["s"]).select("doc_id", "s") for k in range(SLICES)]
     discard(made)
     wanted = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set("s").alias("ss")))
     discard(*parts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames()
         for b in batches:
             found = b.column(2)
             for at, texts in chunks(as_bytes(b.column(1)).to_pylist()):
-                words, windows, ends, whole = _windows(texts, width)
-                s, doc = window_symbols(words, windows, width, rounds)[whole], np.searchsorted(ends, whole)
+                words, windows, ends, whole = _windows(texts, width, names)
+                s, doc = window_symbols(words, windows[:, 0], width, rounds)[whole], np.searchsorted(ends, whole)
                 keep = np.zeros(len(whole), bool)
                 edge = np.searchsorted(doc, np.arange(len(texts) + 1))
                 for k in range(len(texts)):
                     a, e = edge[k], edge[k + 1]
                     keep[a:e] = np.isin(s[a:e], np.asarray(found[at + k].values).view(np.uint64))
                 ids = b.column(0).take(pa.array(at + doc[keep]))
-                yield pa.RecordBatch.from_arrays([pa.array(windows[whole[keep]].view(np.int64)), ids], names=["w", "doc_id"])
+                w, v = windows[whole[keep]].view(np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w)), pa.array(np.ascontiguousarray(v)), ids], names=["w", "v", "doc_id"])
 
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id")
-    found = texts.select("doc_id", "text", "ss").mapInArrow(verify, "w long, doc_id long")
+    found = texts.select("doc_id", "text", "ss").mapInArrow(verify, "w long, v long, doc_id long")
     candidates = materialise(_sliced(found, "w"), by="slice")
     discard(wanted)
-    parts = []
-    for k in range(SLICES):
-        mine = candidates.where(F.col("slice") == k).select("w", "doc_id")
-        firsts = mine.groupBy("w").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-        parts.append(materialise(mine.join(firsts.select("w", "first_doc"), "w").where("doc_id > first_doc").select("doc_id", "w")))
-        release(docs.sparkSession)
-    out = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set("w").alias("ws")))
+    parts = [_shared(candidates.where(F.col("slice") == k).select("w", "v", "doc_id"), ["w", "v"], ("doc_id > first_doc",)).select("doc_id", "w", "v") for k in range(SLICES)]
+    out = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set(F.struct("w", "v")).alias("ws")))
     discard(candidates, *parts)
     return out
 
@@ -172,10 +189,11 @@ SCHEMA = "n_words long, n_removed long, kept string"
 
 def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``extra`` columns, n_words, n_removed and the kept words joined by one space, for every row."""
-    found = repeated_windows(docs, width, rounds).withColumnRenamed("doc_id", "w_doc_id")
+    found = repeated_windows(docs, width, rounds).select(F.col("doc_id").alias("_found_id"), F.col("ws").alias("_found"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *extra))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames()
         for b in batches:
             n_words, n_removed, kept = [], [], []
             found = b.column(1)
@@ -184,12 +202,13 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tup
                 hit = [k for k in range(len(texts)) if found[at + k].is_valid]
                 gone = {}
                 if hit:
-                    _, windows, ends, whole = _windows([texts[k] for k in hit], width)
+                    _, windows, ends, whole = _windows([texts[k] for k in hit], width, names)
                     doc = np.searchsorted(ends, whole)
                     edge = np.searchsorted(doc, np.arange(len(hit) + 1))
                     for n, k in enumerate(hit):
                         mine = windows[whole[edge[n] : edge[n + 1]]]
-                        starts = np.flatnonzero(np.isin(mine, np.asarray(found[at + k].values).view(np.uint64)))
+                        rows = found[at + k].values
+                        starts = np.flatnonzero(among(mine, np.stack([np.asarray(rows.field(c)).view(np.uint64) for c in (0, 1)], 1)))
                         gone[k] = covered(starts, width, len(words[k]))
                 for k, w in enumerate(words):
                     g = gone.get(k)
@@ -200,7 +219,7 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tup
             cols = [*b.columns[2:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *extra, "n_words", "n_removed", "kept"])
 
-    joined = docs.join(found, F.col("doc_id") == F.col("w_doc_id"), "left").select("text", "ws", "doc_id", *extra)
+    joined = docs.select("text", "doc_id", *extra).join(found, F.col("doc_id") == F.col("_found_id"), "left").select("text", "_found", "doc_id", *extra)
     return joined.mapInArrow(cut, f"{kinds}, {SCHEMA}")
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from schemaloom.llm import substring_dedup as S
-from schemaloom.llm.batch_words import batch_words
+from schemaloom.llm.batch_words import WordNames, batch_words
 
 
 def slow(rows, width=13):
@@ -37,7 +37,8 @@ def result(docs):
 
 def test_batch_words_tell_words_apart():
     texts = [b"a b  c\n", None, b"", b"\xc3\xa9 a", b"   ", b"b"]
-    h, ends = batch_words(texts)
+    h, ends = batch_words(texts, WordNames())
+    h = h[:, 1]
     assert ends.tolist() == [3, 4, 5, 8, 9, 11] and len(h) == 12
     assert h[0] == h[7] and h[1] == h[10] and len({*h[[0, 1, 2, 6]].tolist()}) == 4
 
@@ -46,7 +47,8 @@ def test_equal_windows_have_equal_symbols():
     rng = random.Random(4)
     text = [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(300)] + ["x"] * 40
     cut = text[37:120]
-    h, _ = batch_words([" ".join(text).encode(), " ".join(cut).encode()])
+    h, _ = batch_words([" ".join(text).encode(), " ".join(cut).encode()], WordNames())
+    h = h[:, 0]
     a, b = h[:340], h[341:424]
     wa, wb = S.window_hashes(a, 13), S.window_hashes(b, 13)
     assert (wa[37 : 37 + len(wb)] == wb).all()
@@ -72,3 +74,35 @@ def test_table_and_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert result(docs) == slow([(r.doc_id, r.text) for r in docs.collect()])
     assert S.dedup(docs.limit(0)).count() == 0
+
+
+def test_words_that_differ_by_a_few_bits_stay_apart(spark):
+    """Thue-Morse words and their complements, which polynomial hashes modulo a power of two can't tell apart."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    rows = [(k, " ".join([w] + [f"w{j}" for j in range(12)])) for k, w in enumerate((x, y, x))]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == slow(rows)
+
+
+def test_memo_is_emptied_between_texts(monkeypatch):
+    import schemaloom.llm.batch_words as B
+
+    texts = [" ".join(f"w{k * 7 % 90}" for k in range(a, a + 60)).encode() for a in range(0, 600, 30)]
+    want = [batch_words([t], WordNames())[0] for t in texts]
+    monkeypatch.setattr(B, "MEMO_WORDS", 100)
+    names = WordNames()
+    assert all((batch_words([t], names)[0] == w).all() for t, w in zip(texts, want)) and len(names) <= 100
+
+
+def test_among_compares_both_halves():
+    found = np.array([[1, 5], [1, 6], [3, 5]], np.uint64)
+    assert S.among(np.array([[1, 6], [1, 5], [1, 7], [3, 6], [0, 5], [9, 9]], np.uint64), found).tolist() == [True, True, False, False, False, False]
+    assert S.among(found, found[:0]).tolist() == [False] * 3
+
+
+def test_clashing_columns_pass_through(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a " * 20), (2, "a " * 20), (2, "a " * 20)], "doc_id long, text string").withColumn("ws", F.lit("x")).withColumn("n_words", F.lit(-1))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in S.dedup(docs).collect()) == [(1, 20, 0), (2, 20, 20), (2, 20, 20)]
