@@ -41,6 +41,8 @@ WINDOW, ROUNDS = 13, 3
 #: Symbols and candidate windows are compared in so many slices of their hashes, one after another, so that the
 #: shuffle files of one slice at a time are on disk. All slices are compared.
 SLICES = 4
+#: Fewer rows than this are compared in one go.
+SLICE_ROWS = 1_000_000
 _RUN, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _SIDES = mix(np.arange(1, 65, dtype=np.uint64))
 
@@ -150,10 +152,16 @@ def _shared(rows: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> Dat
     return out
 
 
+def _slices(rows: DataFrame) -> list[DataFrame]:
+    if rows.count() < SLICE_ROWS:
+        return [rows]
+    return [rows.where(F.col("slice") == k) for k in range(SLICES)]
+
+
 def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, ws array<struct<w:bigint,v:bigint>>): per document the names of its windows that start in a document with a smaller id."""
     made = materialise(_sliced(symbols(docs, width, rounds), "s"), by="slice")
-    parts = [_shared(made.where(F.col("slice") == k).select("s", "doc_id"), ["s"]).select("doc_id", "s") for k in range(SLICES)]
+    parts = [_shared(part.select("s", "doc_id"), ["s"]).select("doc_id", "s") for part in _slices(made)]
     discard(made)
     wanted = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set("s").alias("ss")))
     discard(*parts)
@@ -178,7 +186,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
     found = texts.select("doc_id", "text", "ss").mapInArrow(verify, "w long, v long, doc_id long")
     candidates = materialise(_sliced(found, "w"), by="slice")
     discard(wanted)
-    parts = [_shared(candidates.where(F.col("slice") == k).select("w", "v", "doc_id"), ["w", "v"], ("doc_id > first_doc",)).select("doc_id", "w", "v") for k in range(SLICES)]
+    parts = [_shared(part.select("w", "v", "doc_id"), ["w", "v"], ("doc_id > first_doc",)).select("doc_id", "w", "v") for part in _slices(candidates)]
     out = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set(F.struct("w", "v")).alias("ws")))
     discard(candidates, *parts)
     return out
