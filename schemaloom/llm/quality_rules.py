@@ -3,7 +3,14 @@
 Statistics come from one Arrow pass over the whole table. The trees are trained on a bounded sample
 of labelled rows (``TRAIN_ROWS``, lowest id hashes first), constrained to be monotone in chosen
 statistics, and flattened into numpy node arrays, with which each batch is scored at once. The model
-is a few kilobytes and travels in the task closure. Null texts count as empty.
+is a few kilobytes and travels in the task closure.
+
+Null, empty and blank texts have counts of zero and fail the base rules; texts are read whole, whatever their length, in
+time that grows with it. Every row, repeated ones and those with a null id too, gives one row; an empty table none. Without
+labelled rows, or with labels of one kind only, the base rules and that kind decide. In training, rows of a doc_id that has
+several labels take the largest, rows that tie on all features and label are interchangeable, and of splits with equal gain
+the first feature and lowest threshold is taken. Other columns of the table, whatever their names, are passed on if asked
+for and not read.
 """
 
 from __future__ import annotations
@@ -136,11 +143,13 @@ def train(x: np.ndarray, y: np.ndarray, monotone, rounds: int = 40, depth: int =
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, text, y) of at most ``rows`` labelled documents, lowest hashes of doc_id first; ties by id.
 
-    The sample of ids is bounded by ``rows``, so it is broadcast and the texts are not shuffled.
+    The sample of ids is bounded by ``rows``, so it is broadcast. Of the texts of an id that repeats in ``docs`` the one
+    with the smallest hash is taken, so the rows are bounded by ``rows`` too.
     """
     picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
@@ -164,22 +173,25 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.5, extra: tuple[st
     """doc_id, the base counts, base_failed, probability of good quality and kept; ``extra`` columns pass through."""
     cut = float(np.log(threshold / (1 - threshold)))
     made = [*((c, LongType()) for c in BASE_FIELDS), ("base_failed", BooleanType()), ("quality_p", DoubleType()), ("kept", BooleanType())]
-    schema = StructType([docs.schema[c] for c in ("doc_id", *extra)] + [StructField(c, t) for c, t in made])
+    kept = ["doc_id", *extra]
+    schema = StructType([docs.schema[c] for c in kept] + [StructField(c, t) for c, t in made])
+    sent = kept if "text" in kept else [*kept, "text"]
+    at = sent.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = Statistics()
         for b in batches:
             if not b.num_rows:
                 continue
-            made = [stats(t) for t in as_bytes(b.column(0)).to_pylist()]
+            made = [stats(t) for t in as_bytes(b.column(at)).to_pylist()]
             base = np.array([m[0] for m in made], np.int64)
             logit = model.score(np.array([m[1] for m in made], float))
             failed = (base[:, 0] < 20) | (100 * base[:, 4] > 30 * base[:, 0])
-            cols = [*b.columns[1:], *(pa.array(c) for c in base.T), pa.array(failed), pa.array(1 / (1 + np.exp(-logit))), pa.array(~failed & (logit >= cut))]
+            cols = [*b.columns[: len(kept)], *(pa.array(c) for c in base.T), pa.array(failed), pa.array(1 / (1 + np.exp(-logit))), pa.array(~failed & (logit >= cut))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = ["doc_id", *extra, *BASE_FIELDS, "base_failed", "quality_p", "kept"]
-    return docs.select("text", "doc_id", *extra).mapInArrow(run, schema)
+    names = schema.fieldNames()
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

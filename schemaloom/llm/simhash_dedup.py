@@ -3,11 +3,10 @@
 Fingerprints are computed in one pass over the texts (A-Z lower-cased). Equal fingerprints become one class. For a
 radius r the classes are put in r + 1 Gray orders, each with another of r + 1 blocks of bits rotated to the front: two
 codes within r bits have one block in common, so in that order the beginnings of their codes are equal. Each order is
-sorted by Gray rank in ranges of about ``RANGE`` codes and cut into groups of equal beginnings, as many bits of the block
-as leave about ``GROUP`` codes in a group. In a group the hierarchical index finds the links: upper nodes hold the bit
-patterns that Gray neighbours share, and whole groups are pruned by their accumulated differences. A group that
-several ranges hold goes on between ranges: each range's shared pattern is its upper node, and only ranges whose
-patterns are within the radius meet. Tasks return spanning forests of links, never all pairs. Components are then found
+sorted by Gray rank and cut into groups of equal beginnings, as many bits of the block as leave about ``GROUP`` codes in a
+group. In a group the hierarchical index finds the links: upper nodes hold the bit patterns that Gray neighbours share,
+and whole groups are pruned by their accumulated differences. A group of over ``RANGE`` codes is cut into ranges: each
+range's shared pattern is an upper node too, and only ranges whose patterns are within the radius meet. Tasks return spanning forests of links, never all pairs. Components are then found
 with distributed star rounds.
 
 Null texts count as empty; texts without words have fingerprint 0, linked like any other. A text is handled whole,
@@ -25,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from schemaloom.llm.common import discard, map_rows, materialise, mix, spread_join, table
 from schemaloom.llm.components import components
@@ -151,9 +150,11 @@ def bucket_links(routed: DataFrame, radii: tuple[int, ...], rows: int, tied: Cal
     """routed(key, rank, rep), all bigint, about ``rows`` rows -> (a, b): for each bucket (key) and radius its groups, each
     tied together by ``tied``.
 
-    Buckets lie in ranges of about ``size`` rows by (key, rank). What a range holds of a bucket is joined there. Only a
-    range's first and last bucket may go on in other ranges; their rows are kept, and two ranges of a bucket are joined
-    where the patterns that their codes share differ in no more bits than the last radius."""
+    Buckets are dealt in order of (key, rank). What a partition holds of a bucket is joined there. Only its first and last
+    bucket may go on in other partitions; their rows are kept, and the pieces of a bucket are put together to ranges of
+    about ``size`` rows, each joined in one task. Two ranges of a bucket are joined where the patterns that their codes
+    share differ in no more bits than the last radius and the bucket isn't connected yet, so a bucket of fewer than
+    ``size`` rows is never dealt twice, and a larger one only as far as its upper nodes can't be pruned."""
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, at = TaskContext.get().partitionId(), None, 0
@@ -181,16 +182,26 @@ def bucket_links(routed: DataFrame, radii: tuple[int, ...], rows: int, tied: Cal
     ranged = routed.repartitionByRange(max(1, -(-rows // size)), "key", "rank").sortWithinPartitions("key", "rank")
     found = materialise(ranged.mapInArrow(inside, "a long, b long, key long, part long"))
     edges = found.where("key is not null").select("key", "part", F.col("b").alias("rank"), F.col("a").alias("rep"))
+    links = found.where("key is null").select("a", "b")
     plain = F.col("rank").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
     code = plain.bitwiseXOR(F.shiftrightunsigned(plain, 1))
-    nodes = edges.withColumn("c", code).groupBy("key", "part").agg(F.bit_and("c").alias("every"), F.bit_or("c").alias("some"))
-    other = nodes.select("key", F.col("part").alias("t2"), F.col("every").alias("every2"), F.col("some").alias("some2"))
+    pieces = edges.withColumn("c", code).groupBy("key", "part").agg(F.bit_and("c").alias("every"), F.bit_or("c").alias("some"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
+    pieces = materialise(pieces.withColumn("t", F.floor(before / size).cast("long")))
+    nodes = pieces.groupBy("key", "t").agg(F.bit_and("every").alias("every"), F.bit_or("some").alias("some"), F.count("*").alias("pieces"))
+    other = nodes.select("key", F.col("t").alias("t2"), F.col("every").alias("every2"), F.col("some").alias("some2"))
     apart = F.bit_count(F.expr("(every ^ every2) & ~(every ^ some) & ~(every2 ^ some2)"))
-    pairs = nodes.withColumnRenamed("part", "t1").join(other, "key").where(F.col("t1") < F.col("t2")).where(apart <= max(radii)).select("key", "t1", "t2")
-    meet = pairs.select("key", "t1", "t2", F.explode(F.array("t1", "t2")).alias("part"))
+    pairs = nodes.withColumnRenamed("t", "t1").join(other, "key").where((F.col("t1") < F.col("t2")) & (apart <= max(radii))).select("key", "t1", "t2")
+    if tied is stars and not pairs.isEmpty():  # links are certain: a bucket that they connect has no more to give
+        linked = components(links)
+        loose = edges.join(linked, F.col("rep") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("component", "rep")).alias("low"), F.max(F.coalesce("component", "rep")).alias("high")).where("low <> high")
+        pairs = materialise(pairs.join(loose.select("key"), "key", "left_semi"))
+    own = nodes.where("pieces > 1").select("key", F.col("t").alias("t1"), F.col("t").alias("t2"))
+    meet = own.withColumn("t", F.col("t1")).union(pairs.withColumn("t", F.explode(F.array("t1", "t2"))))
+    meet = meet.join(pieces.select("key", "t", "part"), ["key", "t"]).select("key", "part", "t1", "t2")
     dealt = edges.join(meet, ["key", "part"]).select("key", "t1", "t2", "rank", "rep")
     across = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(between, "a long, b long")
-    return found.where("key is null").select("a", "b").union(across)
+    return links.union(across)
 
 
 def groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -324,6 +335,22 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, til
     return out
 
 
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of ``similar_groups``: the one with the smallest doc_id (null ids last), of several
+    with that id the one with the smallest hash of the row, and of rows equal in all columns one."""
+    row, key = "_near_dedup_row", ["doc_id", "_near_dedup_row"]
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns, *(F.col(f"`{c}`").isNull() for c in docs.columns)))
+    member = similar_groups(keyed.select(*key, "text"), width, similarity, extra=(row,))
+    per = materialise(member.groupBy(*key).agg(F.min("group").alias("group"), F.count("*").alias("times")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), *key)
+    stays = materialise(per.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    marked = spread_join(per, stays, "group", per.count()).withColumn("gone", F.col("first") != place).where("gone or times > 1")
+    marked = materialise(marked.select(F.col("doc_id").alias("marked_id"), F.col(row).alias("marked_row"), "gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col(row) == F.col("marked_row"))
+    once = keyed.join(marked.where("not gone"), same, "left_semi").dropDuplicates(key)
+    return keyed.join(marked, same, "left_anti").unionByName(once).select(*docs.columns)
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

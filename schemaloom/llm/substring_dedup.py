@@ -198,7 +198,8 @@ SCHEMA = "n_words long, n_removed long, kept string"
 def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``extra`` columns, n_words, n_removed and the kept words joined by one space, for every row."""
     found = repeated_windows(docs, width, rounds).select(F.col("doc_id").alias("_found_id"), F.col("ws").alias("_found"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *extra))
+    kept_columns = ["doc_id", *extra]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept_columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
@@ -224,10 +225,12 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tup
                     n_words.append(len(w))
                     n_removed.append(len(w) - len(left))
                     kept.append(b" ".join(left))
-            cols = [*b.columns[2:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *extra, "n_words", "n_removed", "kept"])
+            by = dict(zip(b.schema.names, b.columns))
+            cols = [*(by[c] for c in kept_columns), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept_columns, "n_words", "n_removed", "kept"])
 
-    joined = docs.select("text", "doc_id", *extra).join(found, F.col("doc_id") == F.col("_found_id"), "left").select("text", "_found", "doc_id", *extra)
+    sent = ["text", "doc_id", *(c for c in extra if c != "text")]
+    joined = docs.select(*sent).join(found, F.col("doc_id") == F.col("_found_id"), "left").select("text", "_found", *sent[1:])
     return joined.mapInArrow(cut, f"{kinds}, {SCHEMA}")
 
 

@@ -4,8 +4,12 @@ P(severity >= k) = sigmoid(w.x - cut_k) with one weight vector shared by all thr
 Features are the distinct words of a text and beginnings of words with the number of words that share them. Labels say toxic or not; training
 grades toxic texts 1 to ``GRADES`` - 1 by thirds of the share of their words that lean toxic, and others 0.
 The model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, lowest id hashes first) and keeps
-at most ``MAX_FEATURES`` features. Scoring is one Arrow pass. Null texts count as empty: severity is that of
-a text without known features.
+at most ``MAX_FEATURES`` features. Scoring is one Arrow pass.
+
+Null, empty and blank texts have no features: their severity is that of a text without known words. Texts are read whole,
+whatever their length. Every row, repeated ones and those with a null id too, gives one row; an empty table none. Without
+labelled rows, or with labels of one kind only, nothing is toxic. Features that tie are taken in the order of their bytes.
+Other columns of the table, whatever their names, are passed on if asked for and not read.
 """
 
 from __future__ import annotations
@@ -123,17 +127,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal:
 
 def score(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, expected severity (0 to 3), P(toxic), grade, toxic (P >= threshold) and kept (not toxic); ``extra`` columns pass through."""
-    out = StructType([docs.schema[c] for c in ("doc_id", *extra)] + [StructField(c, t) for c, t in (("expected_severity", DoubleType()), ("toxic_p", DoubleType()), ("grade", IntegerType()), ("toxic", BooleanType()), ("kept", BooleanType()))])
+    kept = ["doc_id", *extra]
+    sent = kept if "text" in kept else [*kept, "text"]
+    at = sent.index("text")
+    out = StructType([docs.schema[c] for c in kept] + [StructField(c, t) for c, t in (("expected_severity", DoubleType()), ("toxic_p", DoubleType()), ("grade", IntegerType()), ("toxic", BooleanType()), ("kept", BooleanType()))])
     names = out.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                severity, p, grade = (np.array(x) for x in zip(*map(model, as_bytes(b.column(0)).to_pylist())))
+                severity, p, grade = (np.array(x) for x in zip(*map(model, as_bytes(b.column(at)).to_pylist())))
                 made = [pa.array(x) for x in (severity, p, grade.astype(np.int32), p >= threshold, p < threshold)]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=names)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *made], names=names)
 
-    return docs.select("text", "doc_id", *extra).mapInArrow(run, out)
+    return docs.select(*sent).mapInArrow(run, out)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
