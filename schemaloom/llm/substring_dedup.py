@@ -12,7 +12,8 @@ have equal symbols, and a window can only repeat where its symbol does. Plan:
 1. one pass over the texts gives the distinct symbols of each document; an aggregation finds the symbols
    that occur in two documents or more;
 2. the windows behind those shared symbols are named by 128 bits, made from 128-bit digests of their words,
-   and a second aggregation verifies which of them start in a document with a smaller id;
+   and a second aggregation verifies which of them start in a document with a smaller id; inside one document
+   64 bits find them again;
 3. the covered words are removed from the texts.
 
 Shuffled are symbols (about a fifth of the words) and the windows behind shared ones, with partial
@@ -98,27 +99,15 @@ def window_symbols(words: np.ndarray, windows: np.ndarray, width: int = WINDOW,
 
 
 def _windows(texts: list[bytes | None], width: int, names: WordNames):
-    """(words, windows, ends, whole): names of all texts' words (one half) and windows (two halves), a separator after
-    each text at ``ends``, and the places of the windows without a separator."""
+    """(words, windows, ends, whole): names of all texts' words (both halves) and windows (the first half), a separator
+    after each text at ``ends``, and the places of the windows without a separator."""
     words, ends = batch_words(texts, names)
-    windows = np.stack([window_hashes(words[:, k], width) for k in (0, 1)], 1)
+    windows = window_hashes(words[:, 0], width)
     before = np.zeros(len(words) + 1, np.int64)
     before[ends + 1] = 1
     before = np.cumsum(before)
     whole = before[width:] == before[: len(before) - width] if len(windows) else np.empty(0, bool)
-    return np.ascontiguousarray(words[:, 0]), windows, ends, np.flatnonzero(whole)
-
-
-def among(mine: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Boolean per row of ``mine``: it is a row of ``found``; rows are pairs of numbers."""
-    if not len(found):
-        return np.zeros(len(mine), bool)
-    found = found[np.lexsort((found[:, 1], found[:, 0]))]
-    first, hit = np.searchsorted(found[:, 0], mine[:, 0]), np.zeros(len(mine), bool)
-    most = np.unique(found[:, 0], return_counts=True)[1].max()
-    for k in range(most):
-        hit |= (found[np.minimum(first + k, len(found) - 1)] == mine).all(1)
-    return hit
+    return words, windows, ends, np.flatnonzero(whole)
 
 
 def symbols(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -131,7 +120,7 @@ def symbols(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataF
                 words, windows, ends, whole = _windows(texts, width, names)
                 if not len(whole):
                     continue
-                s, doc = window_symbols(words, windows[:, 0], width, rounds)[whole], np.searchsorted(ends, whole)
+                s, doc = window_symbols(np.ascontiguousarray(words[:, 0]), windows, width, rounds)[whole], np.searchsorted(ends, whole)
                 new = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]
                 ids = b.column(0).take(pa.array(at + doc[new]))
                 yield pa.RecordBatch.from_arrays([pa.array(s[new].view(np.int64)), ids], names=["s", "doc_id"])
@@ -159,7 +148,8 @@ def _slices(rows: DataFrame) -> list[DataFrame]:
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, ws array<struct<w:bigint,v:bigint>>): per document the names of its windows that start in a document with a smaller id."""
+    """(doc_id, ws array<bigint>): per document the first halves of the names of its windows that start in a document with
+    a smaller id, which is enough to find them again inside one document."""
     made = materialise(_sliced(symbols(docs, width, rounds), "s"), by="slice")
     parts = [_shared(part.select("s", "doc_id"), ["s"]).select("doc_id", "s") for part in _slices(made)]
     discard(made)
@@ -172,22 +162,22 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
             found = b.column(2)
             for at, texts in chunks(as_bytes(b.column(1)).to_pylist()):
                 words, windows, ends, whole = _windows(texts, width, names)
-                s, doc = window_symbols(words, windows[:, 0], width, rounds)[whole], np.searchsorted(ends, whole)
+                s, doc = window_symbols(np.ascontiguousarray(words[:, 0]), windows, width, rounds)[whole], np.searchsorted(ends, whole)
                 keep = np.zeros(len(whole), bool)
                 edge = np.searchsorted(doc, np.arange(len(texts) + 1))
                 for k in range(len(texts)):
                     a, e = edge[k], edge[k + 1]
                     keep[a:e] = np.isin(s[a:e], np.asarray(found[at + k].values).view(np.uint64))
                 ids = b.column(0).take(pa.array(at + doc[keep]))
-                w, v = windows[whole[keep]].view(np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w)), pa.array(np.ascontiguousarray(v)), ids], names=["w", "v", "doc_id"])
+                second = window_hashes(words[:, 1], width) if keep.any() else windows
+                yield pa.RecordBatch.from_arrays([pa.array(x[whole[keep]].view(np.int64)) for x in (windows, second)] + [ids], names=["w", "v", "doc_id"])
 
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id")
     found = texts.select("doc_id", "text", "ss").mapInArrow(verify, "w long, v long, doc_id long")
     candidates = materialise(_sliced(found, "w"), by="slice")
     discard(wanted)
-    parts = [_shared(part.select("w", "v", "doc_id"), ["w", "v"], ("doc_id > first_doc",)).select("doc_id", "w", "v") for part in _slices(candidates)]
-    out = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set(F.struct("w", "v")).alias("ws")))
+    parts = [_shared(part.select("w", "v", "doc_id"), ["w", "v"], ("doc_id > first_doc",)).select("doc_id", "w") for part in _slices(candidates)]
+    out = materialise(reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set("w").alias("ws")))
     discard(candidates, *parts)
     return out
 
@@ -216,8 +206,7 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tup
                     edge = np.searchsorted(doc, np.arange(len(hit) + 1))
                     for n, k in enumerate(hit):
                         mine = windows[whole[edge[n] : edge[n + 1]]]
-                        rows = found[at + k].values
-                        starts = np.flatnonzero(among(mine, np.stack([np.asarray(rows.field(c)).view(np.uint64) for c in (0, 1)], 1)))
+                        starts = np.flatnonzero(np.isin(mine, np.asarray(found[at + k].values).view(np.uint64)))
                         gone[k] = covered(starts, width, len(words[k]))
                 for k, w in enumerate(words):
                     g = gone.get(k)

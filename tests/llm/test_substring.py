@@ -96,12 +96,6 @@ def test_memo_is_emptied_between_texts(monkeypatch):
     assert all((batch_words([t], names)[0] == w).all() for t, w in zip(texts, want)) and len(names) <= 100
 
 
-def test_among_compares_both_halves():
-    found = np.array([[1, 5], [1, 6], [3, 5]], np.uint64)
-    assert S.among(np.array([[1, 6], [1, 5], [1, 7], [3, 6], [0, 5], [9, 9]], np.uint64), found).tolist() == [True, True, False, False, False, False]
-    assert S.among(found, found[:0]).tolist() == [False] * 3
-
-
 def test_clashing_columns_pass_through(spark):
     from pyspark.sql import functions as F
 
