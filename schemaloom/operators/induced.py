@@ -1,9 +1,9 @@
-"""Recovery and cleaning of schemas that a model wrote, prompts and staged runs."""
+"""Recovery, cleaning and consolidation of schemas that a model wrote, and prompts."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -92,14 +92,7 @@ def last_wins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("first", F.min("pos").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("pos")))).where("rank = 1").withColumn("pos", F.col("first")).drop("first", "rank")
 
 
-def round_robin(docs: DataFrame, group: str, key: str, limit: int | None = None) -> DataFrame:
-    """docs with ord: one document of each group per round."""
-    rows = docs.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(key)))
-    rows = rows.where(F.col("round") <= limit) if limit else rows
-    return rows
-
-
-def render_prompts(docs: DataFrame, template: str, per_prompt: int, order: list[str], placeholder: str = "{documents}") -> DataFrame:
+def render_prompts(docs: DataFrame, template: str, per_prompt: int, placeholder: str = "{documents}") -> DataFrame:
     """(batch, prompt, n_chars, est_tokens): consecutive batches of documents (ord, name, text) in a template."""
     if placeholder not in template:
         raise ValueError(f"the template has no {placeholder}")
@@ -110,25 +103,6 @@ def render_prompts(docs: DataFrame, template: str, per_prompt: int, order: list[
     return made.withColumn("n_chars", F.length("prompt")).withColumn("est_tokens", F.round(F.col("n_chars") / 3.5).cast("long"))
 
 
-def complete(prompts: DataFrame, client: Callable[[str], dict]) -> DataFrame:
-    """prompts(id, prompt) -> (id, response, stop_reason, completion_tokens, error_kind, error). A client raises or returns
-    text, stop_reason and completion_tokens; refusals are told before truncation, blank text is an error."""
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i, prompt in zip(b["id"], b["prompt"]):
-                try:
-                    r = client(prompt)
-                    stop, text = r.get("stop_reason"), r.get("text")
-                    kind = "refused" if stop == "refusal" else "truncated" if stop == "max_tokens" else "empty" if not (text or "").strip() else None
-                    rows.append((i, text, stop, r.get("completion_tokens"), kind, kind and f"response {kind}"))
-                except Exception as e:  # errors are data here, so that a retry never calls again for the rows before
-                    rows.append((i, None, None, None, "call", str(e)))
-            yield pd.DataFrame(rows, columns=["id", "response", "stop_reason", "completion_tokens", "error_kind", "error"])
-
-    return prompts.mapInPandas(run, f"id {prompts.schema['id'].dataType.simpleString()}, response string, stop_reason string, completion_tokens long, error_kind string, error string")
-
-
 def consolidate(classes: DataFrame) -> DataFrame:
     """One class per key over all partial schemas: the most frequent wording, parents by majority, all attributes."""
     keyed = classes.withColumn("key", name_key(F.col("name")))

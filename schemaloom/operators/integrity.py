@@ -1,11 +1,9 @@
-"""Referential integrity, denormalising, counters and seeded row generators."""
+"""Referential integrity and outcome counters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from schemaloom.functions.text import padded_id
-
 
 def missing_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str, rule: str) -> DataFrame:
     """(rule, key): child rows whose non-null key has no parent."""
@@ -17,30 +15,7 @@ def duplicate_keys(df: DataFrame, key: str, rule: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
-def verify(requests: DataFrame, leases: DataFrame) -> DataFrame:
-    """Violations: a request's tenant or property differs from its lease's; an approval owner that doesn't go with the cost."""
-    both = requests.join(leases.select(F.col("id").alias("leaseId"), F.col("tenantId").alias("t"), F.col("propertyId").alias("p")), "leaseId")
-    clash = both.where("tenantId <> t or propertyId <> p").select(F.lit("lease_mismatch").alias("rule"), F.col("id").alias("key"))
-    wrong = requests.where("(estimatedCost > 1000) <> (requiresApprovalOwnerId is not null)").select(F.lit("approval").alias("rule"), F.col("id").alias("key"))
-    return clash.union(wrong)
-
-
 def outcome_counts(events: DataFrame, kind: str, outcome: str, values: list[str]) -> DataFrame:
     """One row per kind with a count for each outcome, and the total."""
     wide = events.groupBy(kind).pivot(outcome, values).agg(F.count(F.lit(1))).na.fill(0)
     return wide.withColumn("total", sum((F.col(v) for v in values), F.lit(0)))
-
-
-def generate(spark, seed: int = 42, owners: int = 18, tenants: int = 35, properties: int = 45, leases: int = 50, requests: int = 65) -> dict[str, DataFrame]:
-    """Instance tables with consistent keys, from row numbers and seeded hashes: the same rows on any cluster."""
-    pick = lambda salt, n: F.pmod(F.xxhash64(F.col("id"), F.lit(salt), F.lit(seed)), F.lit(n))
-    own = spark.range(owners).select(padded_id("own_", F.col("id") + 1).alias("id"), F.element_at(F.array(*map(F.lit, ("individual", "company", "trust"))), (F.col("id") % 3 + 1).cast("int")).alias("ownerType"))
-    ten = spark.range(tenants).select(padded_id("ten_", F.col("id") + 1).alias("id"))
-    prop = spark.range(properties).select(padded_id("prop_", F.col("id") + 1).alias("id"), padded_id("own_", pick("owner", owners) + 1).alias("ownerId"), F.element_at(F.array(*map(F.lit, ("office", "retail", "industrial"))), (F.col("id") % 3 + 1).cast("int")).alias("propertyType"), (pick("size", 90000) + 500).cast("int").alias("squareFootage"))
-    start = F.date_add(F.lit("2020-01-01").cast("date"), pick("start", 1400).cast("int"))
-    lease = spark.range(leases).select(padded_id("lease_", F.col("id") + 1).alias("id"), padded_id("ten_", pick("tenant", tenants) + 1).alias("tenantId"), padded_id("prop_", F.col("id") % properties + 1).alias("propertyId"), start.alias("startDate"), (pick("rent", 20000) + 1000).cast("double").alias("rentAmount"))
-    lease = lease.join(F.broadcast(prop.select(F.col("id").alias("propertyId"), "ownerId")), "propertyId")
-    req = spark.range(requests).select(padded_id("mr_", F.col("id") + 1).alias("id"), padded_id("lease_", pick("lease", leases) + 1).alias("leaseId"), (pick("cost", 3000) + 50).cast("double").alias("estimatedCost"))
-    req = req.join(F.broadcast(lease.select(F.col("id").alias("leaseId"), "tenantId", "propertyId", "ownerId")), "leaseId")
-    req = req.withColumn("requiresApprovalOwnerId", F.when(F.col("estimatedCost") > 1000, F.col("ownerId"))).drop("ownerId")
-    return {"owners": own, "tenants": ten, "properties": prop, "leases": lease, "maintenance_requests": req}

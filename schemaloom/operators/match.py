@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from schemaloom.functions.text import normalize
+
 M2_THRESHOLD, M3_THRESHOLD = 0.85, 0.55
 
 
@@ -23,17 +27,18 @@ def match_exact(gold: DataFrame, induced: DataFrame) -> DataFrame:
 
 
 def indel(a: str, b: str) -> float:
-    """2 x longest common subsequence / total length; 1 for two empty strings."""
+    """2 x longest common subsequence / total length; 1 for two empty strings. The zeros of a bit vector over b count
+    the subsequence, so the work is a few operations on whole numbers for each character of a."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b):
-            now = row[j + 1]
-            row[j + 1] = before + 1 if x == y else max(now, row[j])
-            before = now
-    return 2 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    full = bits = (1 << len(b)) - 1
+    for c in a:
+        hit = bits & places.get(c, 0)
+        bits = ((bits + hit) | (bits - hit)) & full
+    return 2 * (len(b) - bits.bit_count()) / (len(a) + len(b))
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -122,12 +127,14 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
 def match_scored(gold: DataFrame, induced: DataFrame, scorer, threshold: float, masked: bool = False) -> DataFrame:
     """(scope, gold, induced, score): the best assignment of each scope over raw scores, pairs under the threshold
     dropped afterwards (``masked``: set to zero before). Both sides (scope, id, value). Scopes are small by nature;
-    many run in parallel. Equal sums go to more exact pairs, then to smaller ids."""
+    many run in parallel. Equal sums go to more exact pairs, then to smaller ids with smaller ones."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("id"), right.sort_values("id")
         raw = np.array([[scorer(a, b) for b in right["value"]] for a in left["value"]], float).reshape(len(left), len(right))
         used = np.where(raw >= threshold, raw, 0.0) if masked else raw
-        pairs = [(i, j) for i, j in assign(used + 1e-9 * (raw == 1.0)) if raw[i, j] >= threshold]
+        n, m = raw.shape
+        order = np.outer(np.arange(n, 0, -1), np.arange(m, 0, -1)) / max(1, n * m)
+        pairs = [(i, j) for i, j in assign(used + 1e-9 * (raw == 1.0) + 1e-11 * order) if raw[i, j] >= threshold]
         rows = [(left["scope"].iloc[i], left["id"].iloc[i], right["id"].iloc[j], raw[i, j]) for i, j in pairs]
         return pd.DataFrame(rows, columns=["scope", "gold", "induced", "score"])
 
@@ -135,6 +142,80 @@ def match_scored(gold: DataFrame, induced: DataFrame, scorer, threshold: float,
     return gold.groupBy("scope").cogroup(induced.groupBy("scope")).applyInPandas(run, f"scope {kinds['scope']}, gold {kinds['id']}, induced {induced.schema['id'].dataType.simpleString()}, score double")
 
 
+@dataclass(frozen=True)
+class Pack:
+    """What a domain brings to matching: synonyms, thresholds and the embedding model's identity."""
+
+    synonyms: tuple[tuple[str, str], ...] = ()
+    stopwords: tuple[str, ...] = ()
+    m2_threshold: float = M2_THRESHOLD
+    m3_threshold: float = M3_THRESHOLD
+    model_name: str = "hashed-ngrams"
+    model_version: str | None = None
+    cache_path: str | None = None
+
+
+def scorer_of(level: str, pack: Pack) -> tuple:
+    """(score of two values, threshold) of a level; values are norms, at M3 (norm, vector) structs."""
+    if level == "M1":
+        return lambda a, b: float(a == b), 1.0
+    if level == "M2":
+        known = frozenset(pack.synonyms) | frozenset((b, a) for a, b in pack.synonyms)
+        return lambda a, b: 1.0 if (a, b) in known else fuzzy(a, b), pack.m2_threshold
+    if level == "M3":
+        return m3_score, pack.m3_threshold
+    raise ValueError(f"no matching level {level!r}")
+
+
+def match(gold: DataFrame, induced: DataFrame, level: str, pack: Pack = Pack(), vectors: DataFrame | None = None, masked: bool = False) -> DataFrame:
+    """(scope, gold, induced, score): one-to-one pairs of a level inside each scope; both sides (scope, id, name).
+
+    M1 is an equi-join on the norm. M2 and M3 solve the assignment of each scope over all its scores. M3 takes
+    vectors(norm, vector)."""
+    scorer, threshold = scorer_of(level, pack)
+    normed = lambda df: df.select("scope", "id", normalize(F.col("name")).alias("norm"))
+    gold, induced = normed(gold), normed(induced)
+    if level == "M1":
+        return match_exact(gold, induced).select("scope", "gold", "induced", F.lit(1.0).alias("score"))
+    if level == "M2":
+        value = lambda df: df.withColumnRenamed("norm", "value")
+    elif vectors is None:
+        raise ValueError("M3 takes vectors")
+    else:
+        value = lambda df: df.join(vectors.select("norm", "vector"), "norm", "left").select("scope", "id", F.struct("norm", "vector").alias("value"))
+    return match_scored(value(gold), value(induced), scorer, threshold, masked)
+
+
+def hashed_ngrams(norm: str, width: int = 256) -> list[float]:
+    """A vector of a text's character 1- to 3-grams, hashed: the embedder that needs no model."""
+    v = np.zeros(width)
+    padded = f" {norm} "
+    for n in (1, 2, 3):
+        for k in range(len(padded) - n + 1):
+            h = int.from_bytes(blake2b(padded[k : k + n].encode(), digest_size=8).digest(), "little")
+            v[h % width] += 1 - 2 * (h >> 63)
+    size = float(np.linalg.norm(v))
+    return (v / size if size else v).tolist()
+
+
+def embed(norms: DataFrame, cache: DataFrame | None, encode=hashed_ngrams, model_name: str = "hashed-ngrams", model_version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vectors(norm, vector), fresh): vectors of the distinct norms(norm), from cache(model_name, model_version, norm,
+    vector) where it has them under this model and version, else encoded once; ``fresh`` are the new rows for the cache."""
+    wanted = norms.select("norm").where("norm is not null").distinct()
+    mine = F.col("model_name").eqNullSafe(F.lit(model_name)) & F.col("model_version").eqNullSafe(F.lit(model_version).cast("string"))
+    known = cache.where(mine).groupBy("norm").agg(F.first("vector").alias("vector")) if cache is not None else None
+    missing = wanted.join(known, "norm", "left_anti") if known is not None else wanted
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"norm": b["norm"], "vector": [[float(x) for x in encode(n)] for n in b["norm"]]})
+
+    made = missing.mapInPandas(run, "norm string, vector array<double>")
+    fresh = made.select(F.lit(model_name).alias("model_name"), F.lit(model_version).cast("string").alias("model_version"), "norm", "vector")
+    vectors = wanted.join(known, "norm").select("norm", F.col("vector").cast("array<double>").alias("vector")).union(made) if known is not None else made
+    return vectors, fresh
+
+
 def synonym_pairs(pack: dict[str, list[str]], spark) -> DataFrame:
     """(a, b) both ways between a key and each of its synonyms; not among the synonyms of one key."""
     return spark.createDataFrame(sorted(lexicon(pack)), "a string, b string")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from schemaloom.functions import text as T
-from schemaloom.operators import induced as I, integrity as G, match as M, score as S, terms as R
+from schemaloom.operators import annotate as A, fixtures as X, induced as I, instances as N, integrity as G, match as M, model_runs as U, score as S, terms as R
+from schemaloom.sources import readers
+from schemaloom.sources.tables import written
 from schemaloom.streaming.events import tumbling_counts
 
 QUERIES: dict = {}
@@ -29,9 +31,15 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # SQL of the same rules, for the oracles.
 _IRREGULAR = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.IRREGULAR.items())
 _SINGULAR = _IRREGULAR + """ ELSE CASE WHEN length(t) <= 3 THEN t WHEN regexp_matches(t, '(ss|us|is)$') THEN t
- WHEN regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '(s|x|z|ch|sh)es$') THEN regexp_replace(t, 'es$', '')
+ WHEN regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '(ss|x|zz|ch|sh)es$') THEN regexp_replace(t, 'es$', '')
  WHEN regexp_matches(t, 's$') THEN regexp_replace(t, 's$', '') ELSE t END END"""
 
+# Plurals and what they have to become, written out, so that the rules above have something to be held against.
+_PLURALS = """leases lease, expenses expense, licenses license, purchases purchase, houses house, databases database, movies movie, properties property, parties party, addresses address,
+classes class, taxes tax, boxes box, branches branch, dishes dish, quizzes quiz, prizes prize, sizes size, buses bus, status status, analysis analysis, people person, children child, knives knife,
+premises premise, cities city, keys key, shoes shoe, heroes hero, roofs roof, owners owner, lease lease, gas gas, as as, series series, caches cache, causes cause, responses response, invoices invoice"""
+_PLURALS = [tuple(p.split()) for p in _PLURALS.replace("\n", " ").split(",")]
+
 
 def _norm(x: str) -> str:
     spaced = f"regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
@@ -44,16 +52,23 @@ def str_normalize(spark, sf):
     return read(spark, sf, "part").select("p_partkey", T.normalize(F.col("p_name")).alias("norm"), T.normalize(F.col("p_type")).alias("type_norm"))
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PLURALS) + ") v(plural, singular)")
+def str_singular(spark, sf):
+    """STR-2 against written-out pairs"""
+    words = spark.createDataFrame([(a,) for a, _ in _PLURALS], "plural string")
+    return words.select("plural", T.singular(F.col("plural")).alias("singular"))
+
+
 @query("SELECT c_custkey, lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g'))) AS key, length(trim(c_name)) > 0 AS usable FROM customer")
 def str_name_key(spark, sf):
     """STR-3, STR-4, STR-5"""
     return read(spark, sf, "customer").select("c_custkey", T.name_key(F.col("c_name")).alias("key"), T.usable(F.col("c_name")).alias("usable"))
 
 
-@query("SELECT p_partkey, contains(' ' || lower(p_name) || ' ', ' ' || lower(string_split(p_type, ' ')[1]) || ' ') AS holds, round(log2(len(string_split(p_name, ' ')) + 1), 6) AS factor FROM part")
+@query("SELECT p_partkey, contains(' ' || lower(p_name) || ' ', ' ' || lower(p_type) || ' ') AS holds, contains(' ' || lower(p_type || ' ' || p_name) || ' ', ' ' || lower(p_name) || ' ') AS whole, round(log2(len(string_split(p_name, ' ')) + 1), 6) AS factor FROM part")
 def str_contains_tokens(spark, sf):
     """STR-7, STR-8"""
-    return read(spark, sf, "part").select("p_partkey", T.contains_tokens(F.lower("p_name"), F.lower(F.split("p_type", " ")[0])).alias("holds"), F.round(T.length_factor(F.size(F.split("p_name", " "))), 6).alias("factor"))
+    return read(spark, sf, "part").select("p_partkey", T.contains_tokens(F.lower("p_name"), F.lower("p_type")).alias("holds"), T.contains_tokens(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lower("p_name")).alias("whole"), F.round(T.length_factor(F.size(F.split("p_name", " "))), 6).alias("factor"))
 
 
 @query("SELECT page_id, regexp_extract(url, '[^#/]*$') AS name FROM pages")
@@ -96,16 +111,17 @@ def agg_prf(spark, sf):
     return _rounded(c.select(*S.prf(F.col("tp"), F.col("fp"), F.col("fn"))))
 
 
-# Schemas made from the star schema: gold classes are the parts' types per brand, induced ones their names.
-_M1 = f"""g AS (SELECT DISTINCT p_brand AS scope, p_type AS id, {_norm("split_part(p_type, ' ', 1)")} AS norm FROM part),
- i AS (SELECT DISTINCT p_brand AS scope, p_name AS id, {_norm("split_part(p_name, ' ', 1)")} AS norm FROM part),
+# Schemas made from the star schema: gold classes are the parts' types per brand, induced ones their names and the plurals of the types of large parts.
+_M1 = f"""g AS (SELECT DISTINCT p_brand AS scope, p_type AS id, {_norm("p_type")} AS norm FROM part),
+ i AS (SELECT DISTINCT p_brand AS scope, p_name AS id, {_norm("p_name")} AS norm FROM part UNION SELECT p_brand, p_type || 's', {_norm("p_type || 's'")} FROM part WHERE p_size > 25),
  m AS (SELECT a.scope, a.norm, a.id AS gold, b.id AS induced FROM (SELECT *, row_number() OVER (PARTITION BY scope, norm ORDER BY id) AS k FROM g) a JOIN (SELECT *, row_number() OVER (PARTITION BY scope, norm ORDER BY id) AS k FROM i) b USING (scope, norm, k))"""
 
 
 def _sides(spark, sf):
     p = read(spark, sf, "part")
-    side = lambda c: p.select(F.col("p_brand").alias("scope"), F.col(c).alias("id"), T.normalize(F.split(c, " ")[0]).alias("norm")).distinct()
-    return side("p_type"), side("p_name")
+    side = lambda df, c: df.select(F.col("p_brand").alias("scope"), c.alias("id"), T.normalize(c).alias("norm"))
+    plural = side(p.where("p_size > 25"), F.concat("p_type", F.lit("s")))
+    return side(p, F.col("p_type")).distinct(), side(p, F.col("p_name")).union(plural).distinct()
 
 
 @query(f"WITH {_M1} SELECT * FROM m")
@@ -125,7 +141,7 @@ def jn_unmatched(spark, sf):
 
 # One gold schema (nations under regions) and an induced one per market segment (nations of its customers, under a region unless the key is even).
 _SCHEMAS = """gc AS (SELECT n_name AS name, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, NULL FROM region),
- ic AS (SELECT DISTINCT c_mktsegment AS run, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE r_name END AS parent FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0 UNION SELECT DISTINCT c_mktsegment, r_name, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0),
+ ic AS (SELECT DISTINCT c_mktsegment AS run, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE r_name END AS parent FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT c_mktsegment, r_name, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
  p AS (SELECT run, g.name AS gold, i.name AS induced FROM gc g JOIN ic i ON g.name = i.name), runs AS (SELECT DISTINCT run FROM ic)"""
 
 
@@ -133,13 +149,13 @@ def _schemas(spark, sf):
     n = read(spark, sf, "nation").join(F.broadcast(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     none = F.lit(None).cast("string")
     gold = n.select(F.col("n_name").alias("name"), F.col("r_name").alias("parent")).union(n.select("r_name", none)).distinct()
-    c = read(spark, sf, "customer").where("c_acctbal > 0").select("c_mktsegment", "c_nationkey").distinct().join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read(spark, sf, "customer").select("c_mktsegment", "c_nationkey").distinct().join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     made = c.select(F.col("c_mktsegment").alias("run"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, none).otherwise(F.col("r_name")).alias("parent"))
     made = made.union(c.select("c_mktsegment", "r_name", none)).distinct()
     attrs = lambda df: df.withColumn("attributes", F.array(F.substring("name", 1, 1), F.substring("name", 2, 2)))
     gold, made = attrs(gold), attrs(made)
-    both = M.match_exact(made.select("run").distinct().crossJoin(F.broadcast(gold)).select(F.col("run").alias("scope"), F.col("name").alias("id"), T.normalize(F.col("name")).alias("norm")), made.select(F.col("run").alias("scope"), F.col("name").alias("id"), T.normalize(F.col("name")).alias("norm")))
-    return gold, made, both.select(F.col("scope").alias("run"), "gold", "induced"), made.select("run").distinct()
+    runs = made.select("run").distinct()
+    return gold, made, S.class_pairs(gold, made, runs, "M1").select("run", "gold", "induced"), runs
 
 
 def _layer(name: str, tp: str, gold: str, induced: str) -> str:
@@ -166,21 +182,17 @@ def agg_taxonomy_layer(spark, sf):
 def agg_attributes_layer(spark, sf):
     """AGG-10"""
     gold, made, pairs, runs = _schemas(spark, sf)
-    attr = lambda df, who: df.select(*who, F.explode("attributes").alias("a"))
-    g = pairs.join(attr(gold, [F.col("name").alias("gold")]), "gold")
-    i = attr(made, ["run", F.col("name").alias("induced")])
-    hits = g.join(i, ["run", "induced", "a"]).select("run", F.col("gold").alias("gold_class"), F.col("a").alias("gold"), F.col("a").alias("induced")).distinct()
-    return _rounded(S.attributes_layer(gold, made, pairs, runs, hits))
+    return _rounded(S.attributes_layer(gold, made, pairs, runs, S.attribute_pairs(gold, made, pairs, "M1")))
 
 
 _REL = """gr AS (SELECT n_name AS source, 'in' AS label, r_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey),
- ir AS (SELECT DISTINCT c_mktsegment AS run, CASE WHEN n_nationkey % 3 = 0 THEN r_name ELSE n_name END AS source, CASE WHEN n_nationkey % 5 = 0 THEN 'near' ELSE 'in' END AS label, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE r_name END AS target FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0)"""
+ ir AS (SELECT DISTINCT c_mktsegment AS run, CASE WHEN n_nationkey % 3 = 0 THEN r_name ELSE n_name END AS source, CASE WHEN n_nationkey % 5 = 0 THEN 'near' ELSE 'in' END AS label, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE r_name END AS target FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 def _relations(spark, sf):
     n = read(spark, sf, "nation").join(F.broadcast(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     gold = n.select(F.col("n_name").alias("source"), F.lit("in").alias("label"), F.col("r_name").alias("target"))
-    c = read(spark, sf, "customer").where("c_acctbal > 0").select("c_mktsegment", "c_nationkey").distinct().join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read(spark, sf, "customer").select("c_mktsegment", "c_nationkey").distinct().join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     turned = F.col("n_nationkey") % 3 == 0
     made = c.select(F.col("c_mktsegment").alias("run"), F.when(turned, F.col("r_name")).otherwise(F.col("n_name")).alias("source"), F.when(F.col("n_nationkey") % 5 == 0, "near").otherwise("in").alias("label"), F.when(turned, F.col("n_name")).otherwise(F.col("r_name")).alias("target")).distinct()
     return gold, made
@@ -254,25 +266,25 @@ def _candidates(spark, sf):
 @query(f"WITH {_FREQ} SELECT * FROM f")
 def agg_term_frequency(spark, sf):
     """AGG-1 in n-gram mode, AGG-2"""
-    return R.frequencies(_candidates(spark, sf))
+    return R.ngram_frequencies(read(spark, sf, "documents"))
 
 
 @query(f"WITH {_CVAL} SELECT DISTINCT term, container FROM nest")
 def jn_nesting(spark, sf):
     """JN-7"""
-    return R.nesting(R.frequencies(_candidates(spark, sf)))
+    return R.nesting(written(R.ngram_frequencies(read(spark, sf, "documents"))))
 
 
 @query(f"WITH {_CVAL} SELECT * FROM cv")
 def agg_c_value(spark, sf):
     """AGG-4"""
-    return _rounded(R.c_value(R.frequencies(_candidates(spark, sf))))
+    return _rounded(R.c_value(written(R.ngram_frequencies(read(spark, sf, "documents")))))
 
 
 @query(f"WITH {_CVAL} SELECT * FROM cv ORDER BY score DESC, term LIMIT 20")
 def term_cvalue_top(spark, sf):
     """WIN-1; the flagship query"""
-    return R.top_classes(_rounded(R.c_value(R.frequencies(_candidates(spark, sf)))))
+    return R.top_classes(_rounded(R.c_value(written(R.ngram_frequencies(read(spark, sf, "documents"))))))
 
 
 @query(f"""WITH {_CVAL}, top AS (SELECT term FROM cv ORDER BY score DESC, term LIMIT 20),
@@ -283,7 +295,7 @@ def term_cvalue_top(spark, sf):
 def agg_attributes(spark, sf):
     """JN-8, AGG-5, WIN-2 in n-gram mode"""
     c = _candidates(spark, sf)
-    f = R.frequencies(c)
+    f = written(R.ngram_frequencies(read(spark, sf, "documents")))
     return R.attributes(c, R.top_classes(_rounded(R.c_value(f))), guards=f)
 
 
@@ -306,12 +318,12 @@ def sim_cosine(spark, sf):
     return _rounded(both.withColumn("score", M.cosine(F.col("q"), F.col("embedding"))).where(F.col("score") >= 0.3).select("vec_id", "other", "score"))
 
 
-@query()
+@query("SELECT DISTINCT p_brand AS scope, p_name AS gold, array_to_string(list_reverse(string_split(p_name, ' ')), '-') AS induced, 1.0::DOUBLE AS score FROM part")
 def jn_assign_fuzzy(spark, sf):
-    """SIM-2, JN-1, JN-2 general, JN-4: types against names of each brand, at M2 (no synonyms are given for them)."""
-    p = read(spark, sf, "part")
-    side = lambda c: p.select(F.col("p_brand").alias("scope"), F.col(c).alias("id"), T.normalize(F.col(c)).alias("value")).distinct()
-    return M.match_scored(side("p_type"), side("p_name"), M.m2_scorer({}), M.M2_THRESHOLD)
+    """SIM-2, JN-1, JN-2 general, JN-4: names of each brand against the same names with their words turned round"""
+    p = read(spark, sf, "part").select(F.col("p_brand").alias("scope"), "p_name").distinct()
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), "-")
+    return M.match(p.select("scope", F.col("p_name").alias("id"), F.col("p_name").alias("name")), p.select("scope", turned.alias("id"), turned.alias("name")), "M2")
 
 
 @query("SELECT id, name, attributes FROM (SELECT lower(p_brand) AS id, arg_min(p_name, p_partkey) AS name, list_sort(list_distinct(list(lower(p_type)))) AS attributes FROM part GROUP BY lower(p_brand), lower(p_name))")
@@ -334,22 +346,23 @@ def jsn_recover(spark, sf):
     return I.parse_responses(c)
 
 
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 15")
+@query("SELECT doc_id, source, round, row_number() OVER (ORDER BY round, source) - 1 AS ord FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents) WHERE round <= 15")
 def win_round_robin(spark, sf):
     """SRC-8, SRC-9, WIN-6, WIN-7"""
-    return I.round_robin(read(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 15).withColumn("round", F.col("round").cast("long"))
+    d = read(spark, sf, "documents").select("doc_id", "source")
+    return readers.interleave(d, "source", "doc_id", "source", 15).select("doc_id", "source", F.col("round").cast("long").alias("round"), "ord")
 
 
 @query("SELECT ord // 15 AS batch, CAST(sum(length('### ' || p_name || chr(10) || trim(p_type))) + 2 * (count(*) - 1) + 7 AS BIGINT) AS n_chars, count(*) AS n FROM (SELECT *, p_partkey AS ord FROM part) GROUP BY 1")
 def prj_prompts(spark, sf):
     """PRJ-1, WIN-8, UDF-8"""
     d = read(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("text"))
-    made = I.render_prompts(d, "Docs: \n{documents}", 15, [])
+    made = I.render_prompts(d, "Docs: \n{documents}", 15)
     n = d.groupBy(F.floor(F.col("ord") / 15).alias("batch")).agg(F.count("*").alias("n"))
     return made.join(n, "batch").select("batch", F.col("n_chars").cast("long").alias("n_chars"), "n")
 
 
-@query("SELECT 'order_customer' AS rule, CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_custkey % 10 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'line_order', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'user', CAST(user_id AS VARCHAR) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 100) UNION ALL SELECT 'twice', CAST(l_orderkey AS VARCHAR) FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+@query("SELECT 'order_customer' AS rule, CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'line_order', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'user', CAST(user_id AS VARCHAR) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'twice', CAST(l_orderkey AS VARCHAR) FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
 def jn_integrity(spark, sf):
     """JN-12, AGG-19"""
     c, o, li, e = (read(spark, sf, t) for t in ("customer", "orders", "lineitem", "events"))
@@ -407,8 +420,80 @@ def stream_tumbling(spark, sf):
     return tumbling_counts(read(spark, sf, "events")).withColumn("total", F.round("total", 4))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('owners', 18, 18), ('agents', 14, 14), ('vendors', 12, 12), ('properties', 45, 45), ('tenants', 35, 35), ('maintenance_requests', 65, 65), ('violations', 0, 0)) v(name, n, ids)")
 def src_generate(spark, sf):
-    """SRC-14, DAT-1, JN-13: rows with consistent keys, and their violations (none)"""
-    t = G.generate(spark)
-    return G.verify(t["maintenance_requests"], t["leases"]).union(t["leases"].groupBy().agg(F.lit("leases").alias("rule"), F.count("*").cast("string").alias("key")))
+    """SRC-14, DAT-1, FMT-1, JN-12, JN-13: tables with consistent keys, and their violations (none)"""
+    t = N.generate(spark)
+    count = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").cast("int").alias("n"), F.count_distinct("id").cast("int").alias("ids"))
+    out = count("violations", N.verify(t).withColumnRenamed("key", "id"))
+    for name, df in t.items():
+        if name != "leases":  # as many as the seed makes
+            out = out.union(count(name, df))
+    return out
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{lv}', '{t}', {c}, {x}, {r}, {i})" for lv in ("M1", "M2") for t, c, x, r, i in (("identity", "4, 0, 0", "2, 0, 0", "3, 0, 0", "3, 0, 0"), ("added", "4, 2, 0", "2, 0, 0", "3, 0, 0", "3, 0, 0"), ("flat", "4, 0, 0", "0, 0, 2", "3, 0, 0", "3, 0, 0"), ("half", "2, 0, 2", "0, 1, 2", "2, 0, 1", "2, 0, 1"), ("reversed", "4, 0, 0", "2, 0, 0", "1, 2, 2", "3, 0, 0"))) + ") v(level, run, c_tp, c_fp, c_fn, t_tp, t_fp, t_fn, r_tp, r_fp, r_fn, i_tp, i_fp, i_fn)")
+def score_schemas(spark, sf):
+    """AGG-13, PRJ-9, UDF-11, WIN-11: toy schemas with one fault each, scored on all layers at two levels"""
+    c = spark.createDataFrame([("Party", None, ["name"]), ("Owner", "Party", ["share"]), ("Tenant", "Party", []), ("Lease", None, ["rent", "term"])], "name string, parent string, attributes array<string>")
+    r = spark.createDataFrame([("Owner", "signs", "Lease"), ("Tenant", "rents under", "Lease"), ("Lease", "amends", "Lease")], "source string, label string, target string")
+    gold = (c, r)
+    toys = {"identity": gold, "added": X.add_classes(gold, ["Zoning Permit", "Utility Bill"]), "flat": X.flatten(gold), "half": X.keep_half(gold), "reversed": X.reverse(gold)}
+    made = [X.as_run(s, n) for n, s in toys.items()]
+    classes, relations = made[0]
+    for a, b in made[1:]:
+        classes, relations = classes.union(a), relations.union(b)
+    runs = spark.createDataFrame([(n,) for n in toys], "run string")
+    scores, _ = S.score_schema(gold, (classes, relations), runs, ("M1", "M2"), inverse=True)
+    short = {"classes": "c", "taxonomy": "t", "relations": "r", "relations_allow_inverse": "i"}
+    cells = [F.max(F.when(F.col("layer") == layer, F.col(m))).cast("int").alias(f"{k}_{m}") for layer, k in short.items() for m in ("tp", "fp", "fn")]
+    return scores.groupBy("level", "run").agg(*cells)
+
+
+@query(f"WITH {_SCHEMAS} SELECT run, CAST(count(*) AS INT) AS n_classes, CAST(2 * count(*) AS INT) AS n_attributes, 0 AS n_relations FROM ic GROUP BY run")
+def agg_sizes(spark, sf):
+    """AGG-17: sizes of the schemas of the market segments"""
+    _, made, _, runs = _schemas(spark, sf)
+    full = S.schema_sizes(made, spark.createDataFrame([], "run string, source string, label string, target string"), runs)
+    return full.select("run", *[F.col(c).cast("int").alias(c) for c in ("n_classes", "n_attributes", "n_relations")])
+
+
+_CORPUS = [
+    "The owner's address is known.", "The Owner's address changed.", "Each owner's address is old.", "Owner: phone", "owner: phone", "Owner: phone",
+    "the start date of the lease", "The start date of a lease", "start date of lease", "The owner signs the lease.", "An owner signs the lease.", "The owner signs a lease.",
+]
+
+
+@query("SELECT * FROM (VALUES ('class', 'owner', 'address,phone'), ('class', 'lease', 'start date,date'), ('relation', 'owner sign lease', NULL)) v(kind, name, attributes)")
+def induce_schema(spark, sf):
+    """UDF-1, UDF-9, STR-6, JN-8, JN-9, JN-10, AGG-6, WIN-3: a written-out corpus, tagged and induced; its two named classes"""
+    sents = spark.createDataFrame(list(enumerate(_CORPUS)), "sent_id long, sentence string")
+    tagged = written(A.annotate(sents))
+    top = spark.createDataFrame([("owner",), ("lease",)], "term string")
+    terms = R.frequencies(R.spans(tagged))
+    attrs = R.capped(R.grammar_attributes(tagged, top, terms))
+    attrs = attrs.groupBy("class").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), F.length("attr") * -1, "attr"))), lambda x: x["attr"]), ",").alias("attributes"))
+    rel = R.triples(tagged, top, 3).select(F.lit("relation").alias("kind"), F.concat_ws(" ", "subj", "verb", "obj").alias("name"), F.lit(None).cast("string").alias("attributes"))
+    return attrs.select(F.lit("class").alias("kind"), F.col("class").alias("name"), "attributes").union(rel)
+
+
+@query("SELECT c_custkey, round(c_acctbal, 2) AS v, CASE WHEN c_custkey % 7 = 0 THEN 'refused' WHEN c_custkey % 5 = 0 THEN 'truncated' WHEN c_custkey % 3 = 0 THEN 'empty' END AS error_kind FROM customer")
+def prj_responses(spark, sf):
+    """PRJ-10, PRJ-11, UDF-3: requests answered by a stub; refusals, cuts and blanks told apart"""
+    def client(request):
+        k = int(request["messages"][0]["content"].split()[-1])
+        stop = "refusal" if k % 7 == 0 else "max_tokens" if k % 5 == 0 else "end_turn"
+        return {"content": [{"type": "text", "text": " " if k % 3 == 0 else "ok"}], "stop_reason": stop, "usage": {"output_tokens": 1}}
+
+    c = read(spark, sf, "customer")
+    asked = U.call(c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Customer "), "c_custkey").alias("prompt")), U.Model("stub", "stub-1"), client)
+    return c.select("c_custkey", F.round("c_acctbal", 2).alias("v")).join(asked.select(F.col("id").alias("c_custkey"), "error_kind"), "c_custkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'type,size' || chr(13) || chr(10) || p_type || ',' || p_size || chr(13) || chr(10) END AS csv, CASE WHEN p_partkey % 3 = 0 THEN '1 rows without 2 cells, the first: [0]' END AS error FROM part")
+def snk_json_to_csv(spark, sf):
+    """SNK-6: CSV from JSON tables, with the reason where a table is not one"""
+    row = F.when(F.col("p_partkey") % 3 == 0, F.array(F.col("p_type"))).otherwise(F.array(F.col("p_type"), F.col("p_size").cast("string")))
+    text = F.to_json(F.struct(F.array(F.lit("type"), F.lit("size")).alias("columns"), F.array(row).alias("rows")))
+    made = N.tables_from_json(read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("```json\n"), text, F.lit("\n```")).alias("response")))
+    return made.select(F.col("id").alias("p_partkey"), "csv", "error")

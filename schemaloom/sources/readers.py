@@ -7,7 +7,11 @@ import io
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from schemaloom.functions.text import local_name, normalize
+from schemaloom.operators.match import M2_THRESHOLD, M3_THRESHOLD, Pack, embed, hashed_ngrams
+from schemaloom.sources.tables import append_new, exists, written
 
 _TOKEN = re.compile(r'<[^>]*>|"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|#[^\n]*|@[a-zA-Z][\w-]*|\^\^|[;,.](?=\s|$)|[\[\]()]|[^\s;,<>"\[\]()]+?(?=[;,]|\.?(?:\s|$))', re.S)
 RDF, RDFS, OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
@@ -74,8 +78,6 @@ def gold_schema(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A class takes its first parent and the datatype properties of its domain; properties without a domain are dropped.
     A sub-property gives a relation under its parent's name, and the generic parent is left out."""
-    from schemaloom.functions.text import local_name
-
     t = triples.select("ord", local_name(F.col("s")).alias("s"), "p", local_name(F.col("o")).alias("o"))
     of = lambda p, c: t.where(F.col("p") == p).groupBy("s").agg(F.min_by("o", "ord").alias(c))
     typed = lambda kind: t.where((F.col("p") == RDF + "type") & (F.col("o") == kind)).select("s").distinct()
@@ -100,18 +102,28 @@ def read_induced(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str, folders: list[str], limit: int | None = None, filter_first: bool = True) -> DataFrame:
     """(ord, subdir, path, text) of .txt and .csv files, one of each folder in turn. ``filter_first``: other suffixes go
-    before the limit per folder applies (else after it)."""
-    from pyspark.sql import Window
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.decode("content", "UTF-8").alias("text"))
-    files = files.withColumn("subdir", F.element_at(F.split("path", "/"), -2)).where(F.col("subdir").isin(folders))
+    before the limit per folder applies (else after it). Files are ordered by path and numbered without their texts."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    names = files.select("path").withColumn("subdir", F.element_at(F.split("path", "/"), -2)).where(F.col("subdir").isin(folders))
     wanted = F.col("path").rlike(r"\.(txt|csv)$")
-    files = files.where(wanted) if filter_first else files
-    files = files.withColumn("round", F.row_number().over(Window.partitionBy("subdir").orderBy("path")))
-    files = files.where(F.col("round") <= limit) if limit else files
-    rank = F.array_position(F.array(*map(F.lit, folders)), F.col("subdir"))
-    order = Window.orderBy("round", rank)  # folders of files, not rows of data
-    return files.where(wanted).select((F.row_number().over(order) - 1).alias("ord"), "subdir", "path", "text")
+    names = names.where(wanted) if filter_first else names
+    names = interleave(names.withColumn("rank", F.array_position(F.array(*map(F.lit, folders)), F.col("subdir"))), "subdir", "path", "rank", limit)
+    names = names.where(wanted)
+    texts = files.select("path", F.decode("content", "UTF-8").alias("text"))
+    return names.select("ord", "subdir", "path").join(texts, "path").select("ord", "subdir", "path", "text")
+
+
+def interleave(rows: DataFrame, group: str, key: str, rank: str, limit: int | None = None) -> DataFrame:
+    """rows with round and ord: one row of each group per round by key, groups in the order of rank; the first ``limit``
+    of each group. The place of a row is counted, not sorted: how many rows of each group come before it. So no task
+    holds more than a group's keys."""
+    rows = rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(key)))
+    rows = rows.where(F.col("round") <= limit) if limit else rows
+    sizes = rows.groupBy(F.col(rank).alias("_rank")).agg(F.count("*").alias("_size"))
+    sizes = sizes.agg(F.collect_list(F.struct("_rank", "_size")).alias("_groups"))  # one entry for each group
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
+    before = F.expr(f"aggregate(_groups, 0L, (s, g) -> s + least(g._size, round - if(g._rank < `{rank}`, 0, 1)))")
+    return rows.withColumn("ord", before).drop("_one", "_groups")
 
 
 def csv_sentences(files: DataFrame) -> DataFrame:
@@ -129,17 +141,109 @@ def csv_sentences(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "path string, row_no long, sentence string")
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(run, metadata) of schema JSON files: the other columns aren't read."""
+    raw = spark.read.json(path, schema=CONTRACT, multiLine=True).select("metadata").withColumn("file", F.input_file_name())
+    return raw.select(F.coalesce("metadata.run_id", F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)).alias("run"), "metadata")
+
+
+def schema_rows(induced: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes(run, name, parent, attributes), relations(run, source, label, target)) of ``read_induced``. Of classes with
+    one name the last definition counts; attributes and relations once each. A class without a name is an error."""
+    c = induced.select("run", F.posexplode("classes").alias("pos", "c")).select("run", "pos", "c.*")
+    name = F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("a class without a name in run "), F.col("run")))).otherwise(F.col("name"))
+    last = c.withColumn("name", name).groupBy("run", "name").agg(F.max_by(F.struct("parent", "attributes"), "pos").alias("x"))
+    attributes = F.array_distinct(F.coalesce("x.attributes", F.array().cast("array<string>")))
+    r = induced.select("run", F.explode("relations").alias("r")).select("run", "r.*").distinct()
+    return last.select("run", "name", "x.parent", attributes.alias("attributes")), r
+
+
+def read_pack(spark: SparkSession, path: str) -> Pack:
+    """A domain pack from YAML: synonyms by key, stopwords, thresholds and the embedding model. Terms are normalised as
+    names are. Synonyms of one key aren't synonyms of one another."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        raw = yaml.safe_load(f) or {}
+    words = [(k, s) for k, many in (raw.get("synonyms") or {}).items() for s in many]
+    rows = spark.createDataFrame(words, "a string, b string").select(normalize(F.col("a")).alias("a"), normalize(F.col("b")).alias("b")).distinct()
+    limits, model = raw.get("thresholds") or {}, raw.get("embedding") or {}
+    return Pack(
+        synonyms=tuple(sorted(tuple(r) for r in rows.collect())),  # as many as the file has
+        stopwords=tuple(raw.get("stopwords") or ()),
+        m2_threshold=float(limits.get("m2_token_set_ratio", M2_THRESHOLD)),
+        m3_threshold=float(limits.get("m3_cosine_similarity", M3_THRESHOLD)),
+        model_name=model.get("model_name") or Pack.model_name,
+        model_version=model.get("model_version"),
+        cache_path=model.get("cache_path"),
+    )
+
+
+CACHE = "model_name string, model_version string, norm string, vector array<double>"
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The embedding cache, empty where nothing is written yet."""
+    return spark.read.schema(CACHE).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
+
+
+def vectors_of(norms: DataFrame, path: str, encode=hashed_ngrams, model_name: str = Pack.model_name, model_version: str | None = None) -> DataFrame:
+    """(norm, vector) of norms(norm): those the cache lacks are encoded once and appended to it, then all are read there."""
+    spark = norms.sparkSession
+    _, fresh = embed(norms, read_cache(spark, path), encode, model_name, model_version)
+    fresh = written(fresh)
+    if not fresh.isEmpty():
+        append_new(fresh, path, ["model_name", "model_version", "norm"])
+    return embed(norms, read_cache(spark, path), encode, model_name, model_version)[0]
+
+
+def read_instances(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every *.json table of a folder by its stem; a file holds a list of records."""
+    files = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path").collect()]
+    return {re.sub(r"^.*/|\.json$", "", f): spark.read.json(f, multiLine=True) for f in sorted(files)}
+
+
+def latest(spark: SparkSession, folder: str, pattern: str) -> str | None:
+    """The path last written of those that match, ties to the largest name."""
+    if not exists(spark, folder):
+        return None
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+
+
+def latest_run(spark: SparkSession, raw: str, tables: str, suffix: str) -> tuple[str | None, str | None, str | None]:
+    """(run, schema path, scores path): the last schema named run + suffix, and the scores of that very run, if there are any."""
+    path = latest(spark, raw, f"*{suffix}")
+    if path is None:
+        return None, None, None
+    run = path.rsplit("/", 1)[-1][: -len(suffix)]
+    scores = f"{tables}/{run}.csv"
+    return run, path, scores if exists(spark, scores) else None
+
+
 def write_scores(rows: DataFrame, path: str) -> None:
-    """The long score table as one CSV with a header, nulls as empty cells."""
-    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="")
-
-
-def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys aren't in the Parquet table yet."""
-    try:
-        have = df.sparkSession.read.parquet(path).select(*keys).distinct()
-        df = df.join(have, keys, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.write.mode("append").parquet(path)
+    """The long score table (run_id, model, condition, level, layer, metric, value) as CSV with a header, nulls as empty
+    cells, in one file: it has 48 rows at most for each run and level."""
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """documents(run, document) as JSON lines, a folder for each run."""
+    documents.select("run", F.col("document").alias("value")).write.mode("overwrite").partitionBy("run").text(path)
+
+
+def write_schema(schema: DataFrame, path: str) -> bool:
+    """schema(schema_json) as text, only if it has a row: a run that failed leaves nothing. True if written."""
+    if schema.isEmpty():
+        return False
+    schema.select(F.col("schema_json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return True
+
+
+def write_instances(tables: dict[str, DataFrame], violations: DataFrame, folder: str) -> None:
+    """Each table as JSON lines in a folder of its name, only if there are no violations."""
+    found = [tuple(r) for r in violations.limit(5).collect()]
+    if found:
+        raise ValueError(f"instances are not written; the first violations: {found}")
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{folder}/{name}")

@@ -13,6 +13,6 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 def upsert_new(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
     """Append each batch's rows with new keys to a Parquet table; a batch that runs twice adds nothing."""
-    from schemaloom.sources.readers import append_new
+    from schemaloom.sources.tables import append_new
 
     return stream.writeStream.foreachBatch(lambda df, _: append_new(df.dropDuplicates(keys), path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

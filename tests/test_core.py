@@ -22,7 +22,7 @@ def test_normalize(spark):
     assert one(spark, T.normalize(F.lit("Properties"))) == "property" != one(spark, T.normalize(F.lit("Premises")))
 
 
-@pytest.mark.parametrize("text,want", [("<think>{a}</think> b", "b"), ("x</think>tail", "tail"), ("<think> open", "<think> open")])
+@pytest.mark.parametrize("text,want", [("<think>{a}</think> b", "b"), ("x</think>tail", "tail"), ("<think> open", "<think> open"), ("<think>a</think>b <THINK>c", "b <THINK>c")])
 def test_strip_reasoning(spark, text, want):
     assert one(spark, T.strip_reasoning(F.lit(text))) == want
 
@@ -75,10 +75,36 @@ def test_cosine_assignment_at_m3(spark):
     assert M.match_cosine(side("a"), side("c"), vectors, 0.61).count() == 0
 
 
-def test_fuzzy_query_uses_the_surveyed_threshold(spark, tmp_path):
-    rows = [("x", "Steel Bolts", "steel bolt"), ("x", "red pump", "red lamp")]
-    spark.createDataFrame(rows, "p_brand string, p_type string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
-    assert [tuple(r)[1:] for r in Q.jn_assign_fuzzy(spark, str(tmp_path)).collect()] == [("Steel Bolts", "steel bolt", 1.0)]
+def test_levels(spark):
+    side = lambda *names: spark.createDataFrame([("s", n, n) for n in names], "scope string, id string, name string")
+    pack = M.Pack(synonyms=(("owner", "landlord"),))
+    got = {lv: {(r.gold, r.induced) for r in M.match(side("Owner", "Steel Bolts", "lease"), side("landlord", "bolt_steel", "Leases"), lv, pack).collect()} for lv in ("M1", "M2")}
+    assert got == {"M1": {("lease", "Leases")}, "M2": {("lease", "Leases"), ("Owner", "landlord"), ("Steel Bolts", "bolt_steel")}}
+    for level in ("M0", None):
+        with pytest.raises(ValueError):
+            M.match(side("a"), side("a"), level)
+    with pytest.raises(ValueError):
+        M.match(side("a"), side("a"), "M3")
+
+
+def test_equal_sums_go_to_exact_pairs_then_smaller_ids(spark):
+    side = lambda *ids: spark.createDataFrame([("s", i, i) for i in ids], "scope string, id string, value string")
+    got = M.match_scored(side("b", "a", "c"), side("z", "x", "y"), lambda a, b: 0.9, 0.85).orderBy("gold").collect()
+    assert [(r.gold, r.induced) for r in got] == [("a", "x"), ("b", "y"), ("c", "z")]
+    score = {("a", "x"): 1.0, ("a", "y"): 0.9, ("b", "x"): 0.9, ("b", "y"): 0.8}
+    got = M.match_scored(side("a", "b"), side("x", "y"), lambda a, b: score[a, b], 0.8).collect()
+    assert {(r.gold, r.induced) for r in got} == {("a", "x"), ("b", "y")}
+
+
+def test_indel_equals_the_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc d", k=rng.randint(0, 14))) for _ in "xy")
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert M.indel(a, b) == (2 * t[-1][-1] / (len(a) + len(b)) if a or b else 1.0)
 
 
 def test_c_value_by_hand(spark):
@@ -128,16 +154,6 @@ def test_clean(spark):
     assert I.clean_relations(spark.createDataFrame(rel, "id string, pos int, source string, label string, target string")).count() == 2
 
 
-def test_completions_are_rows(spark):
-    def client(prompt):
-        if prompt == "boom":
-            raise RuntimeError("down")
-        return {"text": " " if prompt == "blank" else "ok", "stop_reason": {"cut": "max_tokens", "no": "refusal"}.get(prompt, "end"), "completion_tokens": 1}
-
-    prompts = spark.createDataFrame([(p, p) for p in ("fine", "boom", "blank", "cut", "no")], "id string, prompt string")
-    assert {r.id: r.error_kind for r in I.complete(prompts, client).collect()} == {"fine": None, "boom": "call", "blank": "empty", "cut": "truncated", "no": "refused"}
-
-
 TTL = """@prefix : <http://x.org/o#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
 # a comment; with . signs
 :Party a owl:Class . :Owner a owl:Class ; rdfs:subClassOf :Party ; rdfs:comment "it's; a . text" .
@@ -188,10 +204,20 @@ def test_effective_attributes_stop_at_cycles_and_dangling(spark):
     assert {r.name: r.attributes for r in got.collect()} == {"A": ["a", "b"], "B": ["a", "b"], "Building": ["x"]}
 
 
-def test_generated_rows_are_consistent(spark):
-    t = G.generate(spark)
-    assert G.verify(t["maintenance_requests"], t["leases"]).count() == 0
-    assert {k: v.count() for k, v in t.items()} == {"owners": 18, "tenants": 35, "properties": 45, "leases": 50, "maintenance_requests": 65}
+def test_a_chain_of_ancestors_has_no_last_step(spark):
+    rows = [("r", f"c{k}", f"c{k - 1}" if k else None, [f"a{k}"]) for k in range(31)]
+    got = S.effective_attributes(spark.createDataFrame(rows, "run string, name string, parent string, attributes array<string>"), spark)
+    assert {r.name: len(r.attributes) for r in got.collect()}["c30"] == 31
+
+
+def test_a_relation_found_both_ways_leaves_no_wrong_one(spark):
+    gold = spark.createDataFrame([("A", "owns", "B")], "source string, label string, target string")
+    made = spark.createDataFrame([("r", "A", "owns", "B"), ("r", "B", "owns", "A")], "run string, source string, label string, target string")
+    pairs, runs = spark.createDataFrame([("r", x, x) for x in "AB"], "run string, gold string, induced string"), spark.createDataFrame([("r",), ("none",)], "run string")
+    got = {(r.run, r.layer): tuple(r[2:]) for inverse in (False, True) for r in S.relations_layer(gold, made, pairs, runs, inverse).collect()}
+    assert got["r", "relations"][:3] == (1, 1, 0) and got["r", "relations_allow_inverse"] == (1, 0, 0, 1.0, 1.0, 1.0)
+    assert got["none", "relations"] == (0, 0, 1, 0.0, 0.0, 0.0)
+    assert tuple(S.relations_layer(gold.limit(0), made, pairs, runs).where("run = 'r'").first())[2:] == (0, 2, 0, None, None, None)
 
 
 def test_integrity_finds_planted_violations(spark, tmp_path):
