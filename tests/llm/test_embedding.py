@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from schemaloom.llm import embedding_dedup as E
 
@@ -51,19 +52,44 @@ def test_no_width_is_left_out(spark):
     assert got == {i: i - 5000 if i > 5000 else i for i, _, _ in rows}
 
 
-def test_recall_near_the_threshold():
+@pytest.mark.parametrize("n,lean", [(4000, 0.0), (200_000_000, 0.0), (4000, 0.7), (4000, 0.95), (4000, 0.999)])
+def test_recall_at_the_threshold(n, lean):
+    """Pairs at the threshold exactly, of vectors that lean one way with that mean cosine."""
     rng = np.random.default_rng(5)
-    x = E.unit(rng.normal(size=(4000, 64)))
+    centre = E.unit(rng.normal(size=(1, 64)))
+    x = E.unit(np.sqrt(lean) * centre + np.sqrt(1 - lean) * E.unit(rng.normal(size=(6000, 64))))
+    index = E.fit(x[:4000], n, 0.93)
+    assert lean < 0.9 or len(index.pivots) <= 64
+    x = x[4000:]
     u = rng.normal(size=x.shape)
     u -= (u * x).sum(1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * E.unit(u)
-    p = x[rng.choice(4000, E.PIVOTS, replace=False)]
-    a, b = E.permutations(x, p, E.PREFIX), E.permutations(y, p, E.PREFIX)
-    shared = np.array([len(set(i) & set(j)) for i, j in zip(a.tolist(), b.tolist())])
-    assert (shared >= 2).mean() > 0.97
+    p, q, apart = E.meeting(index.permutations(x), index.permutations(y))
+    assert np.mean((p >= 0) & (apart <= index.slack)) > 0.95
+    assert len(E.fit(x, 10**9, 0.93).pivots) > len(E.fit(x, 1000, 0.93).pivots) or lean > 0.5
 
 
-def test_table(spark, sf):
-    df = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
-    assert result(df) == brute(rows)
+def test_meeting_points():
+    a, b = np.array([[4, 2, 9], [1, 2, 3]], np.int16), np.array([[9, 7, 4], [4, 5, 3]], np.int16)
+    p, q, apart = E.meeting(a, b)
+    assert p.tolist() == [4, -1] and q.tolist() == [9, -1] and apart.tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("lean", [0.0, 0.7])
+def test_recall_through_the_index(spark, lean):
+    """Against brute force over all rows, with pairs about the threshold and groups of copies."""
+    rng = np.random.default_rng(8)
+    base = E.unit(np.sqrt(lean) * E.unit(rng.normal(size=(1, 48))) + np.sqrt(1 - lean) * E.unit(rng.normal(size=(700, 48))))
+    near = E.unit(np.repeat(base[:150], 4, 0) + E.unit(rng.normal(size=(600, 48))) * rng.uniform(0.0, 0.45, (600, 1)))
+    x = np.vstack([base, near])
+    hit = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in E.dedup(df, tile=300).collect()}
+    assert all(got[i] <= k for i, k in enumerate(hit.sum(1)))
+    assert sum(got.values()) >= 0.95 * hit.sum() > 500
+
+
+def test_table_equals_brute_force(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.op3_embedding_dedup(spark, sf).collect())
+    assert got == brute(rows)
