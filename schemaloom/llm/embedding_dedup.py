@@ -212,8 +212,9 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS
     per = counts.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.select("k", "rep", "n").join(per, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left")
     named = named.select("k", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, "k", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
+    out = rows.where("k is not null").join(named, "k").select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"))
+    alone = rows.where("k is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))  # they stay where they are
+    out = out.union(alone)
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

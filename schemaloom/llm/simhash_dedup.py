@@ -112,6 +112,8 @@ def chains(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _forests(rank: np.ndarray, rep: np.ndarray, radii: tuple[int, ...], tied: Callable):
     """Links of one bucket, whose rows are in Gray order: equal codes and, for each radius, groups of the index."""
+    if len(rank) < 2:
+        return
     codes, first, of = np.unique(rank, return_index=True, return_inverse=True)
     yield from _named(rep, tied(of))
     if len(codes) > 1:
@@ -126,7 +128,8 @@ def _named(rep, pairs):
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Runs of rows with equal first ``keys`` columns, all columns being numbers, over batches."""
+    """Runs of rows with equal first ``keys`` columns, all columns being numbers, over batches: the first, the last and
+    those of more than one row; others have no pair and are passed over (but where a batch ends)."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -135,9 +138,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.n
         new = np.zeros(len(cols[0]), bool)
         for c in cols[:keys]:
             new[1:] |= c[1:] != c[:-1]
-        cut = [0, *np.flatnonzero(new).tolist(), len(cols[0])]
-        for a, e in zip(cut, cut[1:]):
-            part = [c[a:e] for c in cols]
+        cut = np.r_[0, np.flatnonzero(new), len(cols[0])]
+        some = np.diff(cut) > 1
+        some[[0, -1]] = True
+        for k in np.flatnonzero(some):
+            part = [c[cut[k] : cut[k + 1]] for c in cols]
             if held and any(held[0][k][0] != part[k][0] for k in range(keys)):
                 yield [np.concatenate(c) for c in zip(*held)]
                 held = []

@@ -219,7 +219,9 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tup
             yield pa.RecordBatch.from_arrays(cols, names=[*kept_columns, "n_words", "n_removed", "kept"])
 
     sent = ["text", "doc_id", *(c for c in extra if c != "text")]
-    joined = docs.select(*sent).join(found, F.col("doc_id") == F.col("_found_id"), "left").select("text", "_found", *sent[1:])
+    named = docs.select(*sent).where("doc_id is not null").join(found, F.col("doc_id") == F.col("_found_id"), "left").select("text", "_found", *sent[1:])
+    nameless = docs.select(*sent).where("doc_id is null").select("text", F.lit(None).cast("array<long>").alias("_found"), *sent[1:])  # they stay where they are
+    joined = named.union(nameless)
     return joined.mapInArrow(cut, f"{kinds}, {SCHEMA}")
 
 
