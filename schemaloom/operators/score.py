@@ -165,7 +165,7 @@ def score_schema(gold: tuple[DataFrame, DataFrame], induced: tuple[DataFrame, Da
     direction, ``masked`` sets scores under the threshold to zero before the assignment."""
     (gold_classes, gold_relations), (classes, relations) = gold, induced
     spark = runs.sparkSession
-    gold_all, all_ = effective_attributes(gold_classes, spark, keys=()), effective_attributes(classes, spark)
+    gold_all, all_ = written(effective_attributes(gold_classes, spark, keys=())), written(effective_attributes(classes, spark))
     scores, decisions = [], []
     for level in levels:
         how = (level, pack, vectors, masked)
@@ -178,8 +178,8 @@ def score_schema(gold: tuple[DataFrame, DataFrame], induced: tuple[DataFrame, Da
         layers.append(relations_layer(gold_relations, relations, pairs, runs, False, *how))
         if inverse:
             layers.append(relations_layer(gold_relations, relations, pairs, runs, True, *how))
-        for x in layers:
-            scores.append(x.select("run", F.lit(level).alias("level"), *x.columns[1:], F.col("f1").isNull().alias("n_a")))
+        for x in layers:  # each a row per run; written one by one, as one plan of them all is slow to optimise
+            scores.append(written(x.select("run", F.lit(level).alias("level"), *x.columns[1:], F.col("f1").isNull().alias("n_a"))))
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(scores), union(decisions)
 
