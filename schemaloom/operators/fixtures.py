@@ -76,6 +76,13 @@ def relabel(gold: Schema, labels: dict[tuple[str, str], str]) -> Schema:
     return classes, relations.select("source", new.alias("label"), "target")
 
 
+def ordered(classes: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row (classes, relations) of a schema whose rows have a pos, in its order."""
+    c = classes.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "parent", "attributes"))), lambda x: F.struct(x["name"], x["parent"], x["attributes"])).alias("classes"))
+    r = relations.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source", "label", "target"))), lambda x: F.struct(x["source"], x["label"], x["target"])).alias("relations"))
+    return c.withColumn("_one", F.lit(1)).join(r.withColumn("_one", F.lit(1)), "_one").select("classes", "relations")
+
+
 def to_contract(schema: Schema, condition: str) -> DataFrame:
     """(schema_json) of a schema without a run, as induced schemas are exchanged."""
     classes, relations = schema

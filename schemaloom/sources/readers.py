@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from schemaloom.functions.text import local_name, normalize
 from schemaloom.operators.match import M2_THRESHOLD, M3_THRESHOLD, Pack, embed, hashed_ngrams
+from schemaloom.operators.terms import sentences
 from schemaloom.sources.tables import append_new, exists, written
 
 _TOKEN = re.compile(r'<[^>]*>|"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|#[^\n]*|@[a-zA-Z][\w-]*|\^\^|[;,.](?=\s|$)|[\[\]()]|[^\s;,<>"\[\]()]+?(?=[;,]|\.?(?:\s|$))', re.S)
@@ -141,6 +142,15 @@ def csv_sentences(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "path string, row_no long, sentence string")
 
 
+def corpus_sentences(spark: SparkSession, root: str, folders: list[str], limit: int | None = None) -> DataFrame:
+    """(sent_id, path, sentence) of the .txt and .csv files of the folders, the first ``limit`` files of each (whatever their
+    suffix): sentences of texts, a line for each row of a table. Written, so ids stay."""
+    docs = written(read_documents(spark, root, folders, limit, filter_first=False))
+    texts = sentences(docs.where(F.col("path").endswith(".txt")).select(F.col("path").alias("doc_id"), "text")).select(F.col("doc_id").alias("path"), F.col("sent_no").cast("long").alias("row_no"), "sentence")
+    both = texts.union(csv_sentences(docs.where(F.col("path").endswith(".csv"))))
+    return written(both.select(F.monotonically_increasing_id().alias("sent_id"), "path", "sentence"))
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(run, metadata) of schema JSON files: the other columns aren't read."""
     raw = spark.read.json(path, schema=CONTRACT, multiLine=True).select("metadata").withColumn("file", F.input_file_name())

@@ -343,3 +343,36 @@ def test_small_functions(spark):
     assert one(T.surface(F.lit("\u0130stanbul Owner"), F.lit("i\u0307stanbul owner"), F.lit(10), F.lit(15))) == "owner"
     assert str(one(T.random_date(2022, 2023, F.lit(0.0)))) == "2022-01-01" and str(one(T.random_date(2022, 2023, F.lit(0.9999999)))) == "2023-12-31"
     assert one(T.email(F.lit("Ada Boyd"), F.lit("My Firm"))) == "ada.boyd@myfirm.com"
+
+
+def test_command_line(spark, tmp_path, gold, capsys):
+    from schemaloom.__main__ import main
+
+    (tmp_path / "docs" / "notes").mkdir(parents=True)
+    (tmp_path / "docs" / "rows").mkdir()
+    (tmp_path / "docs" / "notes" / "a.txt").write_text("The owner signs the lease. " * 4 + "\n\nThe rent amount of the lease. " * 3)
+    (tmp_path / "docs" / "rows" / "b.csv").write_text("owner,phone\n" + "Ada,1\n" * 3)
+    main(["induce", "--documents", str(tmp_path / "docs"), "--folders", "notes", "rows", "--out", str(tmp_path / "made")], spark)
+    text = spark.read.text(str(tmp_path / "made")).first().value
+    made = json.loads(text)
+    assert {"owner", "lease"} <= {c["name"] for c in made["classes"]} and len(made["metadata"]["source_documents"]) == 2
+    assert {"source": "owner", "label": "sign", "target": "lease"} in made["relations"]
+    (tmp_path / "run.json").write_text(text)
+    (tmp_path / "gold.ttl").write_text("""@prefix : <http://x.org/o#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+:Owner a owl:Class . :Lease a owl:Class . :rentAmount a owl:DatatypeProperty ; rdfs:domain :Lease .
+:signs a owl:ObjectProperty ; rdfs:domain :Owner ; rdfs:range :Lease .
+""")
+    args = ["score", "--gold", str(tmp_path / "gold.ttl"), "--induced", str(tmp_path / "run.json"), "--out", str(tmp_path / "out"), "--allow-inverse"]
+    main(args, spark)
+    table = spark.read.csv(str(tmp_path / "out" / "scores"), header=True)
+    got = {(r.level, r.layer, r.metric): r.value for r in table.collect()}
+    assert table.columns == ["run_id", "model", "condition", "level", "layer", "metric", "value"] and len(got) == 3 * 8 * 6
+    assert got["M1", "classes", "tp"] == "2.0" and got["M1", "relations", "tp"] == "1.0" and got["M1", "taxonomy", "f1"] is None
+    assert spark.read.text(str(tmp_path / "out" / "matches")).count() == 3
+    capsys.readouterr()
+    main(["show", "--scores", str(tmp_path / "out" / "table")], spark)
+    main(["show", "--induced", str(tmp_path / "run.json")], spark)
+    shown = capsys.readouterr().out
+    assert "relations_allow_inverse" in shown and "owner --sign-> lease" in shown
+    with pytest.raises(SystemExit):
+        main(["show"], spark)
