@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from schemaloom.sources.tables import shared_dir
+
 #: Word hashes remembered per Python worker; the memo is emptied when full, so memory is bounded.
 MEMO_WORDS = 400_000
 
@@ -27,17 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set and all runs on one machine (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir isn't set; it has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="schemaloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors.
 
