@@ -341,11 +341,36 @@ def win_last_wins(spark, sf):
     return I.last_wins(read(spark, sf, "part").select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), "p_type"))
 
 
-@query()
+@query("SELECT conv_id || ':' || turn AS id, text AS name, NULL::VARCHAR AS error FROM conversations")
 def jsn_recover(spark, sf):
-    """STR-11, JSN-1: schemas inside free text."""
+    """STR-11, JSN-1: schemas inside free text, with any text as a name."""
     c = read(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat(F.lit('Here {is} it: {"classes": [{"name": '), F.to_json(F.struct("text")), F.lit("}]} done")).alias("response"))
-    return I.parse_responses(c)
+    return I.parse_responses(c).select("id", F.get_json_object("schema_json", "$.classes[0].name.text").alias("name"), "error")
+
+
+@query("SELECT id, arg_min(source, pos) AS source, arg_min(label, pos) AS label, arg_min(target, pos) AS target FROM (SELECT p_brand AS id, p_partkey AS pos, p_name AS source, CASE WHEN p_size % 2 = 0 THEN p_type ELSE lower(p_type) END AS label, p_type AS target FROM part) GROUP BY id, lower(source), lower(label), lower(target)")
+def jsn_clean_relations(spark, sf):
+    """JSN-2, SET-6: relations once each, whatever their case"""
+    p = read(spark, sf, "part")
+    label = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.lower("p_type"))
+    rows = p.select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("source"), label.alias("label"), F.col("p_type").alias("target"))
+    return I.clean_relations(rows).select("id", "source", "label", "target")
+
+
+@query("SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 15 AS batch FROM customer")
+def win_chunks(spark, sf):
+    """WIN-8: consecutive batches of fifteen"""
+    return N.batches(read(spark, sf, "customer").select("c_custkey"), "c_custkey", 15)
+
+
+@query("SELECT count(DISTINCT p_type) AS n, count(DISTINCT p_type) FILTER (p_type < 'M') AS known, count(DISTINCT p_type) FILTER (p_type >= 'M') AS fresh FROM part")
+def sim_embed_cache(spark, sf):
+    """SIM-4, SRC-12, SNK-5: vectors of the types, of which the cache has some under this model and all under another"""
+    names = read(spark, sf, "part").select(F.col("p_type").alias("norm")).distinct()
+    row = lambda df, version: df.select(F.lit("m").alias("model_name"), F.lit(version).alias("model_version"), "norm", F.array(F.lit(1.0)).alias("vector"))
+    vectors, fresh = M.embed(names, row(names.where("norm < 'M'"), "2").union(row(names, "1")), lambda n: [0.0], "m", "2")
+    n = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vector")[0] == 1.0).alias("known"))
+    return n.withColumn("_one", F.lit(1)).join(fresh.agg(F.count("*").alias("fresh")).withColumn("_one", F.lit(1)), "_one").select("n", "known", "fresh")
 
 
 @query("SELECT doc_id, source, round, row_number() OVER (ORDER BY round, source) - 1 AS ord FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents) WHERE round <= 15")
