@@ -257,7 +257,8 @@ def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int
     todo = routed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", tiles.alias("t"))
     dealt = routed.join(todo, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "t").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     dealt = materialise(dealt.select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "mine", "rep", "part"))
-    used = sets.join(dealt.select(F.col("rep").alias("digest")).distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    reps = materialise(dealt.select(F.col("rep").alias("digest")).distinct())
+    used = sets.join(reps, "digest", "left_semi").dropDuplicates(["digest"])
 
     def join(key, rows):
         size = pc.binary_length(rows["hashes"]).to_numpy() // 8
@@ -291,7 +292,7 @@ def rest_links(routed: DataFrame, sets: DataFrame, similarity: float, tile: int
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
     found = materialise(dealt.join(used, F.col("rep") == F.col("digest")).drop("digest").groupBy("key", "t1", "t2").applyInArrow(join, "a long, b long"))
-    discard(dealt)
+    discard(dealt, reps)
     return found
 
 
@@ -323,7 +324,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, til
 
     found = bucket_links(classes.select("digest", "fp", "bands").mapInArrow(route, "key long, rank long, rep long"), RADII, classes.count() * BANDS, chains, size)
     links = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "digest")
+    # Written, so that Spark knows its size: where it is small it is broadcast, and the sets stay where they are.
+    ends = materialise(links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "digest"))
     sets = materialise(prints.select("digest", "hashes").join(ends, "digest", "left_semi").dropDuplicates(["digest"]))
     pairs = links.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("hashes").alias("y")), "b")
     checked = map_rows(pairs.select("a", "b", "x", "y"), lambda: lambda a, b, x, y: (a, b, jaccard(x, y) >= similarity), "a long, b long, near boolean")
@@ -336,7 +338,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, til
     named = spread_join(per.select("digest", F.col("n").alias("rows"), "group"), per.groupBy("group").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "group", per.count())
     named = materialise(named.withColumnRenamed("rows", "n"))
     out = materialise(spread_join(prints.select("doc_id", *extra, "digest"), named, "digest", prints.count()).select("doc_id", *extra, "component_id", "group"))
-    discard(prints, classes, links, sets, per, named)
+    discard(prints, classes, links, ends, sets, per, named)
     return out
 
 
