@@ -74,6 +74,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows handled at a time in a Python worker, whatever the size of the batches that come.
+SLICE = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``SLICE`` rows, so that a worker holds the Python objects and results of few."""
+    for b in batches:
+        for a in range(0, b.num_rows, SLICE):
+            yield b.slice(a, SLICE)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str | StructType) -> DataFrame:
     """One output row per input row. ``make()`` runs once per task and returns a function that takes
     the row's values (strings as UTF-8 bytes, null as None) and returns a tuple in ``schema`` order."""
@@ -82,10 +93,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str | StructTy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()
-        for batch in batches:
+        for batch in slices(batches):
             cols = [as_bytes(c).to_pylist() for c in batch.columns]
-            if not batch.num_rows:
-                continue
             made = list(map(row, *cols))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
 

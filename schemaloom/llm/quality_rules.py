@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from schemaloom.llm.common import WordHashes, as_bytes, covered, table, window_hashes
+from schemaloom.llm.common import WordHashes, as_bytes, covered, slices, table, window_hashes
 
 #: Most labelled rows used for training.
 TRAIN_ROWS = 6000
@@ -180,9 +180,7 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.5, extra: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = Statistics()
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             made = [stats(t) for t in as_bytes(b.column(at)).to_pylist()]
             base = np.array([m[0] for m in made], np.int64)
             logit = model.score(np.array([m[1] for m in made], float))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from schemaloom.llm.batch_words import WordNames, batch_words, chunks
-from schemaloom.llm.common import as_bytes, covered, discard, materialise, mix, release, spread_join, table, window_hashes
+from schemaloom.llm.common import as_bytes, covered, discard, materialise, mix, slices, spread_join, table, window_hashes
 
 WINDOW, ROUNDS = 13, 3
 #: Symbols and candidate windows are compared in so many slices of their hashes, one after another, so that the
@@ -115,7 +115,7 @@ def symbols(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
-        for b in batches:
+        for b in slices(batches):
             for at, texts in chunks(as_bytes(b.column(1)).to_pylist()):
                 words, windows, ends, whole = _windows(texts, width, names)
                 if not len(whole):
@@ -158,7 +158,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
-        for b in batches:
+        for b in slices(batches):
             found = b.column(2)
             for at, texts in chunks(as_bytes(b.column(1)).to_pylist()):
                 words, windows, ends, whole = _windows(texts, width, names)
@@ -193,7 +193,7 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tup
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
-        for b in batches:
+        for b in slices(batches):
             n_words, n_removed, kept = [], [], []
             found = b.column(1)
             for at, texts in chunks(as_bytes(b.column(0)).to_pylist()):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from schemaloom.llm.common import as_bytes, discard, map_rows, materialise, table
+from schemaloom.llm.common import as_bytes, discard, map_rows, materialise, slices, table
 from schemaloom.llm.quality_rules import labelled_sample
 
 #: Most labelled rows used for training, and most features kept.
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD, extra:
     names = out.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 severity, p, grade = (np.array(x) for x in zip(*map(model, as_bytes(b.column(at)).to_pylist())))
                 made = [pa.array(x) for x in (severity, p, grade.astype(np.int32), p >= threshold, p < threshold)]
