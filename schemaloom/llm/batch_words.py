@@ -1,50 +1,37 @@
-"""Names of the words of many texts at once.
+"""Names of the words of many texts at once, in numpy.
 
-A word's name is a 128-bit BLAKE2b digest, as two 64-bit halves. Digests are remembered in a bounded memo, so a word that
-comes again costs one look-up.
+A word's name is a 128-bit tabulation hash: for each of its two 64-bit halves, the sum over its bytes of a random value of
+the byte and its place in the word, mixed. Words that differ anywhere differ in values drawn apart for that place, so
+regular words don't meet as they do under polynomials modulo a power of two. Halves are sums over one running total of
+all bytes, so no word becomes a Python object.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from hashlib import blake2b
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from schemaloom.llm.common import mix
+
 #: Bytes of text handled at a time; a longer text is handled alone.
 CHUNK_BYTES = 1 << 19
-#: Words remembered per Python worker; a text with more new ones is still handled whole.
-MEMO_WORDS = 400_000
 #: Stands after each text.
 SEPARATOR = np.uint64(0xD6E8FEB86659FD93)
+#: Places in a word whose values are kept in a table; those of longer words are made as they come.
+PLACES = 64
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SEEDS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0x9E3779B97F4A7C15))
 
-class WordNames(dict):
-    """word -> place of its name."""
 
-    def __init__(self):
-        self.fresh: list[bytes] = []
-        self.names = np.empty((0, 2), np.uint64)
+def _values(at: np.ndarray, k: int) -> np.ndarray:
+    """The random values of (place << 8 | byte) for a half."""
+    return mix(mix(at.astype(np.uint64) + _SEEDS[k]) ^ _SEEDS[1 - k])
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.fresh.append(blake2b(word, digest_size=16).digest())
-        return at
 
-    def of(self, words: Iterator[bytes], n: int) -> np.ndarray:
-        """Two numbers for each of the n words."""
-        if len(self) + n > MEMO_WORDS:
-            self.clear()
-            self.names = np.empty((0, 2), np.uint64)
-        have = len(self)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, n)
-        if self.fresh:
-            if len(self.names) < len(self):
-                self.names = np.concatenate([self.names[:have], np.empty((max(len(self), have * 2) - have, 2), np.uint64)])
-            self.names[have : len(self)] = np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)
-            self.fresh.clear()
-        return self.names[at]
+_TABLES = tuple(_values(np.arange(PLACES << 8), k) for k in (0, 1))
 
 
 def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]]:
@@ -59,13 +46,31 @@ def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]
         yield at, texts[at:]
 
 
-def batch_words(texts: list[bytes | None], names: WordNames) -> tuple[np.ndarray, np.ndarray]:
-    """(names, ends): the names of the words of all texts in order, two numbers each, SEPARATOR at each of ``ends``."""
-    words = [(t or b"").split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    out = np.full((int(sizes.sum()) + len(texts), 2), SEPARATOR)
-    inside = np.ones(len(out), bool)
+def batch_words(texts: list[bytes | None]) -> tuple[Callable[[int], np.ndarray], np.ndarray]:
+    """(half, ends): half(0) and half(1) are the first and second halves of the names of the words of all texts in order,
+    SEPARATOR at each of ``ends``."""
+    data = np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)
+    change = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+    first, last = change[::2], change[1::2]
+    begins = np.zeros(len(data), np.int64)
+    begins[first] = first
+    at = np.arange(len(data)) - np.maximum.accumulate(begins)  # place in the word; between words, where it doesn't matter, after it
+    at = (at << 8) | data
+    far = np.flatnonzero(at >= PLACES << 8)
+    near = np.minimum(at, (PLACES << 8) - 1)
+    text_ends = np.cumsum([len(t or b"") + 1 for t in texts]) - 1
+    ends = np.searchsorted(first, text_ends) + np.arange(len(texts))  # words up to each text's end, and the separators before
+    inside = np.ones(len(first) + len(texts), bool)
     inside[ends] = False
-    out[inside] = names.of(chain.from_iterable(words), int(sizes.sum()))
-    return out, ends
+
+    def half(k: int) -> np.ndarray:
+        value = _TABLES[k][near]
+        if len(far):
+            value[far] = _values(at[far], k)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        out = np.full(len(first) + len(texts), SEPARATOR)
+        out[inside] = mix(sums[last] - sums[first])
+        return out
+
+    return half, ends

@@ -11,7 +11,7 @@ have equal symbols, and a window can only repeat where its symbol does. Plan:
 
 1. one pass over the texts gives the distinct symbols of each document; an aggregation finds the symbols
    that occur in two documents or more;
-2. the windows behind those shared symbols are named by 128 bits, made from 128-bit digests of their words,
+2. the windows behind those shared symbols are named by 128 bits, made from the 128-bit names of their words,
    and a second aggregation verifies which of them start in a document with a smaller id; inside one document
    64 bits find them again;
 3. the covered words are removed from the texts.
@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schemaloom.llm.batch_words import WordNames, batch_words, chunks
+from schemaloom.llm.batch_words import batch_words, chunks
 from schemaloom.llm.common import as_bytes, covered, discard, materialise, mix, slices, spread_join, table, window_hashes
 
 WINDOW, ROUNDS = 13, 3
@@ -98,29 +98,29 @@ def window_symbols(words: np.ndarray, windows: np.ndarray, width: int = WINDOW,
     return np.where(out == np.iinfo(np.uint64).max, windows, out)
 
 
-def _windows(texts: list[bytes | None], width: int, names: WordNames):
-    """(words, windows, ends, whole): names of all texts' words (both halves) and windows (the first half), a separator
-    after each text at ``ends``, and the places of the windows without a separator."""
-    words, ends = batch_words(texts, names)
-    windows = window_hashes(words[:, 0], width)
+def _windows(texts: list[bytes | None], width: int):
+    """(half, words, windows, ends, whole): ``half`` of ``batch_words``; the first halves of the names of all texts' words
+    and windows, a separator after each text at ``ends``; the places of the windows without a separator."""
+    half, ends = batch_words(texts)
+    words = half(0)
+    windows = window_hashes(words, width)
     before = np.zeros(len(words) + 1, np.int64)
     before[ends + 1] = 1
     before = np.cumsum(before)
     whole = before[width:] == before[: len(before) - width] if len(windows) else np.empty(0, bool)
-    return words, windows, ends, np.flatnonzero(whole)
+    return half, words, windows, ends, np.flatnonzero(whole)
 
 
 def symbols(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(s, doc_id): the symbols that stand for each document's windows, side-by-side repeats once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames()
         for b in slices(batches):
             for at, texts in chunks(as_bytes(b.column(1)).to_pylist()):
-                words, windows, ends, whole = _windows(texts, width, names)
+                _, words, windows, ends, whole = _windows(texts, width)
                 if not len(whole):
                     continue
-                s, doc = window_symbols(np.ascontiguousarray(words[:, 0]), windows, width, rounds)[whole], np.searchsorted(ends, whole)
+                s, doc = window_symbols(words, windows, width, rounds)[whole], np.searchsorted(ends, whole)
                 new = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]
                 ids = b.column(0).take(pa.array(at + doc[new]))
                 yield pa.RecordBatch.from_arrays([pa.array(s[new].view(np.int64)), ids], names=["s", "doc_id"])
@@ -157,19 +157,18 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
     discard(*parts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames()
         for b in slices(batches):
             found = b.column(2)
             for at, texts in chunks(as_bytes(b.column(1)).to_pylist()):
-                words, windows, ends, whole = _windows(texts, width, names)
-                s, doc = window_symbols(np.ascontiguousarray(words[:, 0]), windows, width, rounds)[whole], np.searchsorted(ends, whole)
+                half, words, windows, ends, whole = _windows(texts, width)
+                s, doc = window_symbols(words, windows, width, rounds)[whole], np.searchsorted(ends, whole)
                 keep = np.zeros(len(whole), bool)
                 edge = np.searchsorted(doc, np.arange(len(texts) + 1))
                 for k in range(len(texts)):
                     a, e = edge[k], edge[k + 1]
                     keep[a:e] = np.isin(s[a:e], np.asarray(found[at + k].values).view(np.uint64))
                 ids = b.column(0).take(pa.array(at + doc[keep]))
-                second = window_hashes(words[:, 1], width) if keep.any() else windows
+                second = window_hashes(half(1), width) if keep.any() else windows
                 yield pa.RecordBatch.from_arrays([pa.array(x[whole[keep]].view(np.int64)) for x in (windows, second)] + [ids], names=["w", "v", "doc_id"])
 
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id")
@@ -192,7 +191,6 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tup
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept_columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames()
         for b in slices(batches):
             n_words, n_removed, kept = [], [], []
             found = b.column(1)
@@ -201,7 +199,7 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, extra: tup
                 hit = [k for k in range(len(texts)) if found[at + k].is_valid]
                 gone = {}
                 if hit:
-                    _, windows, ends, whole = _windows([texts[k] for k in hit], width, names)
+                    _, _, windows, ends, whole = _windows([texts[k] for k in hit], width)
                     doc = np.searchsorted(ends, whole)
                     edge = np.searchsorted(doc, np.arange(len(hit) + 1))
                     for n, k in enumerate(hit):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from schemaloom.llm import substring_dedup as S
-from schemaloom.llm.batch_words import WordNames, batch_words
+from schemaloom.llm.batch_words import batch_words
 
 
 def slow(rows, width=13):
@@ -37,8 +37,8 @@ def result(docs):
 
 def test_batch_words_tell_words_apart():
     texts = [b"a b  c\n", None, b"", b"\xc3\xa9 a", b"   ", b"b"]
-    h, ends = batch_words(texts, WordNames())
-    h = h[:, 1]
+    half, ends = batch_words(texts)
+    h = half(1)
     assert ends.tolist() == [3, 4, 5, 8, 9, 11] and len(h) == 12
     assert h[0] == h[7] and h[1] == h[10] and len({*h[[0, 1, 2, 6]].tolist()}) == 4
 
@@ -47,8 +47,7 @@ def test_equal_windows_have_equal_symbols():
     rng = random.Random(4)
     text = [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(300)] + ["x"] * 40
     cut = text[37:120]
-    h, _ = batch_words([" ".join(text).encode(), " ".join(cut).encode()], WordNames())
-    h = h[:, 0]
+    h = batch_words([" ".join(text).encode(), " ".join(cut).encode()])[0](0)
     a, b = h[:340], h[341:424]
     wa, wb = S.window_hashes(a, 13), S.window_hashes(b, 13)
     assert (wa[37 : 37 + len(wb)] == wb).all()
@@ -86,14 +85,16 @@ def test_words_that_differ_by_a_few_bits_stay_apart(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == slow(rows)
 
 
-def test_memo_is_emptied_between_texts(monkeypatch):
-    import schemaloom.llm.batch_words as B
-
-    texts = [" ".join(f"w{k * 7 % 90}" for k in range(a, a + 60)).encode() for a in range(0, 600, 30)]
-    want = [batch_words([t], WordNames())[0] for t in texts]
-    monkeypatch.setattr(B, "MEMO_WORDS", 100)
-    names = WordNames()
-    assert all((batch_words([t], names)[0] == w).all() for t, w in zip(texts, want)) and len(names) <= 100
+def test_names_don_t_depend_on_what_stands_around():
+    words = [b"a", b"ab", b"ba", b"aab", b"x" * 63, b"x" * 64, b"x" * 65, b"y" * 300, b"x" * 64 + b"y", "é".encode(), b"\x1c"]
+    rng = random.Random(1)
+    alone = {w: tuple(int(batch_words([w])[0](k)[0]) for k in (0, 1)) for w in words}
+    assert len(set(alone.values())) == len(words) and len({v for x in alone.values() for v in x}) == 2 * len(words)
+    for _ in range(20):
+        texts = [[rng.choice(words) for _ in range(rng.randint(0, 9))] for _ in range(5)]
+        half, ends = batch_words([b" \t".join(t) + rng.choice([b"", b"\n"]) for t in texts])
+        got = [tuple(map(int, x)) for x in zip(np.delete(half(0), ends), np.delete(half(1), ends))]
+        assert got == [alone[w] for t in texts for w in t]
 
 
 def test_clashing_columns_pass_through(spark):
