@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from schemaloom.functions.text import contains_tokens, length_factor, name_key, surface
+from schemaloom.operators.runs import counted_runs, ngram_columns
 from schemaloom.sources.tables import written
 
 MAX_TOKENS, MIN_FREQ, TOP_CLASSES, MIN_COOC, MAX_ATTRS = 4, 3, 20, 3, 10
@@ -29,14 +30,9 @@ def ngrams(sents: DataFrame, longest: int = MAX_TOKENS) -> DataFrame:
 
 
 def ngram_frequencies(docs: DataFrame, longest: int = MAX_TOKENS, least: int = MIN_FREQ) -> DataFrame:
-    """(term, n_tokens, freq) of ``frequencies(ngrams(sentences(docs)))``, from the terms alone: each token is laid beside
-    those after it, and the runs that begin there are joined as plain strings; their places are never made."""
-    beside = F.arrays_zip(*(F.slice("t", k + 1, F.greatest(F.size("t"), F.lit(1))).alias(f"w{k}") for k in range(longest)))
-    rows = _tokens(sentences(docs.select("doc_id", "text"))).select(F.inline(beside))
-    rows = rows.toDF(*(f"w{k}" for k in range(longest)))
-    runs = [F.concat(*(x for k in range(n) for x in ((F.lit(" "), F.col(f"w{k}")) if k else (F.col("w0"),)))) for n in range(1, longest + 1)]
-    counted = rows.select(F.explode(F.array(*runs)).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("freq"))
-    return counted.where(F.col("freq") >= least).select("term", F.size(F.split("term", " ")).alias("n_tokens"), "freq")
+    """(term, n_tokens, freq) of ``frequencies(ngrams(sentences(docs)))``, counted by ``counted_runs``."""
+    found = counted_runs(docs.select("text"), *ngram_columns(longest), longest, least)
+    return found.select(F.when(F.col("n_tokens") == 1, F.col("head")).otherwise(F.concat_ws(" ", "head", "tail")).alias("term"), "n_tokens", "freq")
 
 
 def spans(tokens: DataFrame, longest: int = MAX_TOKENS) -> DataFrame:
