@@ -56,18 +56,24 @@ def frequencies(candidates: DataFrame, least: int = MIN_FREQ) -> DataFrame:
     return candidates.groupBy("term", "n_tokens").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
 
 
-def nesting(terms: DataFrame) -> DataFrame:
-    """(term, container): terms inside longer ones. An equi-join on the sub-spans of each term, not a comparison of all pairs."""
-    sub = F.expr("flatten(transform(sequence(1, size(t) - 1), n -> transform(sequence(0, size(t) - n), i -> array_join(slice(t, i + 1, n), ' '))))")
-    longer = terms.where("n_tokens > 1").select(F.col("term").alias("container"), F.split("term", " ").alias("t"))
-    pieces = longer.select("container", F.explode(sub).alias("term")).distinct()
-    return pieces.join(terms.select("term"), "term")
+def _inside(terms: DataFrame, *also: str) -> DataFrame:
+    """(term, container, *also): each shorter run of words once for each term that holds it, with columns of that term."""
+    sub = F.expr("array_distinct(flatten(transform(sequence(1, size(t) - 1), n -> transform(sequence(0, size(t) - n), i -> array_join(slice(t, i + 1, n), ' ')))))")
+    longer = terms.where("n_tokens > 1").select(F.col("term").alias("container"), *also, F.split("term", " ").alias("t"))
+    return longer.select(F.explode(sub).alias("term"), "container", *also)
+
+
+def nesting(terms: DataFrame, closed: bool = False) -> DataFrame:
+    """(term, container): terms, each in one row, inside longer ones. An equi-join on the sub-spans of each term, not a
+    comparison of all pairs. ``closed``: whatever stands inside a term is a term, as it is of ``ngram_frequencies``, where
+    it comes at least as often; then nothing is joined."""
+    pieces = _inside(terms)
+    return pieces if closed else pieces.join(terms.select("term"), "term")
 
 
 def c_value(terms: DataFrame) -> DataFrame:
     """term, n_tokens, freq, score: log2(tokens + 1) x (frequency - mean frequency of the terms that contain it)."""
-    around = nesting(terms).join(terms.select(F.col("term").alias("container"), F.col("freq").alias("outer")), "container")
-    mean = around.groupBy("term").agg(F.avg("outer").alias("mean"))
+    mean = _inside(terms, "freq").groupBy("term").agg(F.avg("freq").alias("mean"))
     return terms.join(mean, "term", "left").select("term", "n_tokens", "freq", (length_factor(F.col("n_tokens")) * (F.col("freq") - F.coalesce("mean", F.lit(0.0)))).alias("score"))
 
 

@@ -1,5 +1,6 @@
 """Runs of words counted through compressed records, and what is made of them."""
 
+import math
 import random
 from collections import Counter
 
@@ -70,3 +71,31 @@ def test_chunks_end_anywhere(monkeypatch, longest, tokens, words):
 def test_frequencies_send_less_than_the_texts_twice(spark, rare):
     chars = rare.agg(F.sum(F.length("text"))).first()[0]
     assert shuffled(spark, lambda: R.ngram_frequencies(rare)) < 2 * chars
+
+
+@pytest.fixture(scope="module")
+def terms(spark, sf):
+    path = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 100")
+    rows = R.ngram_frequencies(path, least=2).collect()
+    return spark.createDataFrame(rows, "term string, n_tokens int, freq long").coalesce(2)
+
+
+def test_c_value_by_brute_force(spark, terms):
+    freq = {r.term: r.freq for r in terms.collect()}
+    inside = {(" ".join(t[i : i + n]), c) for c in freq for t in [c.split()] for n in range(1, len(t)) for i in range(len(t) - n + 1)}
+    around = {}
+    for t, c in inside:
+        around.setdefault(t, []).append(freq[c])
+    want = {t: math.log2(len(t.split()) + 1) * (n - (sum(around[t]) / len(around[t]) if t in around else 0)) for t, n in freq.items()}
+    assert {r.term: r.score for r in R.c_value(terms).collect()} == pytest.approx(want)
+    assert sorted(map(tuple, R.nesting(terms, closed=True).collect())) == sorted(map(tuple, R.nesting(terms).collect())) == sorted(inside)
+    some = terms.where("freq % 2 = 0")  # not closed: what stands inside a term need not be one
+    kept = {t for t, n in freq.items() if n % 2 == 0}
+    assert sorted(map(tuple, R.nesting(some).collect())) == sorted((t, c) for t, c in inside if t in kept and c in kept)
+
+
+def test_c_value_sends_no_pairs_of_terms(spark, terms):
+    chars = terms.agg(F.sum(F.length("term"))).first()[0]
+    assert shuffled(spark, lambda: R.c_value(terms)) < 4 * chars
+
+
