@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.operators import runs, terms as R
+from schemaloom.plans import queries as Q
 
 ODD = ["A b. C d!  e? f\n\nG h\n \t\n i.\x0bj k.l m n.  o", "Kelvin Kelvin İstanbul ΣΣ x x x x x x x", None, "", " . ", "the end.\nthe end.\n\n\nthe end", "a.b.c. a.b.c a.b.c a!\x1cb", "x\ty z\r\nq\r\n\r\nw? \n v"] * 3
 
@@ -99,3 +100,7 @@ def test_c_value_sends_no_pairs_of_terms(spark, terms):
     assert shuffled(spark, lambda: R.c_value(terms)) < 4 * chars
 
 
+@pytest.mark.parametrize("name", ["term_cvalue_top"])
+def test_term_queries_send_little(spark, sf, name):
+    chars = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    assert shuffled(spark, lambda: Q.QUERIES[name](spark, sf)) < 3 * chars
