@@ -272,7 +272,7 @@ def agg_term_frequency(spark, sf):
 @query(f"WITH {_CVAL} SELECT DISTINCT term, container FROM nest")
 def jn_nesting(spark, sf):
     """JN-7"""
-    return R.nesting(written(R.ngram_frequencies(read(spark, sf, "documents"))))
+    return R.nesting(R.ngram_frequencies(read(spark, sf, "documents")), closed=True)
 
 
 @query(f"WITH {_CVAL} SELECT * FROM cv")

@@ -100,7 +100,7 @@ def test_c_value_sends_no_pairs_of_terms(spark, terms):
     assert shuffled(spark, lambda: R.c_value(terms)) < 4 * chars
 
 
-@pytest.mark.parametrize("name", ["term_cvalue_top"])
+@pytest.mark.parametrize("name", ["term_cvalue_top", "jn_nesting"])
 def test_term_queries_send_little(spark, sf, name):
     chars = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
     assert shuffled(spark, lambda: Q.QUERIES[name](spark, sf)) < 3 * chars
