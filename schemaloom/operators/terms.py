@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from schemaloom.functions.text import contains_tokens, length_factor, name_key, surface
-from schemaloom.operators.runs import counted_runs, ngram_columns
+from schemaloom.operators.runs import after_columns, counted_runs, ngram_columns
 from schemaloom.sources.tables import written
 
 MAX_TOKENS, MIN_FREQ, TOP_CLASSES, MIN_COOC, MAX_ATTRS = 4, 3, 20, 3, 10
@@ -101,6 +101,17 @@ def attributes(candidates: DataFrame, classes: DataFrame, least: int = MIN_COOC,
     return capped(hits.groupBy("class", "attr").agg(F.count("*").alias("n")), least, most)
 
 
+def ngram_attributes(docs: DataFrame, classes: DataFrame, longest: int = MAX_TOKENS, least: int = MIN_COOC, most: int = MAX_ATTRS, guards: DataFrame | None = None) -> DataFrame:
+    """``attributes(ngrams(sentences(docs)), classes)``: only runs that begin with a class are made, and counted by
+    ``counted_runs``; the rules on attributes, which look at names alone, come after. Classes are few (``TOP_CLASSES``)."""
+    names = [r.term for r in classes.select("term").distinct().collect()]
+    found = counted_runs(docs.select("text"), *after_columns(names, longest), longest + 1, least).where("n_tokens > 1")
+    found = found.select(F.col("head").alias("class"), F.col("tail").alias("attr"), F.col("freq").alias("n"))
+    found = found.where(~F.col("attr").isin(names) & ~contains_tokens(F.col("attr"), F.col("class")))
+    found = found.join(guards.select(F.col("term").alias("attr")), "attr", "left_semi") if guards is not None else found
+    return capped(found.select("class", "attr", "n"), least, most)
+
+
 def grammar_attributes(tokens: DataFrame, classes: DataFrame, terms: DataFrame) -> DataFrame:
     """(class, attr, n) from tagged sentences: attr is a term, no class, and doesn't hold its class. It counts where it
     follows the class after 's or a colon; follows it at once inside one noun chunk; or stands before "of", with

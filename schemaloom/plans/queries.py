@@ -259,10 +259,6 @@ _CVAL = _FREQ + """, sub AS (SELECT DISTINCT f.term AS container, array_to_strin
  cv AS (SELECT f.term, f.n_tokens, f.freq, round(log2(f.n_tokens + 1) * (f.freq - coalesce(m, 0)), 6) AS score FROM f LEFT JOIN (SELECT term, avg(freq) AS m FROM nest GROUP BY term) USING (term))"""
 
 
-def _candidates(spark, sf):
-    return R.ngrams(R.sentences(read(spark, sf, "documents")))
-
-
 @query(f"WITH {_FREQ} SELECT * FROM f")
 def agg_term_frequency(spark, sf):
     """AGG-1 in n-gram mode, AGG-2"""
@@ -294,9 +290,9 @@ def term_cvalue_top(spark, sf):
  SELECT class, attr, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY n DESC, attr) AS rank FROM n) WHERE rank <= 10""")
 def agg_attributes(spark, sf):
     """JN-8, AGG-5, WIN-2 in n-gram mode"""
-    c = _candidates(spark, sf)
-    f = written(R.ngram_frequencies(read(spark, sf, "documents")))
-    return R.attributes(c, R.top_classes(_rounded(R.c_value(f))), guards=f)
+    d = read(spark, sf, "documents")
+    f = written(R.ngram_frequencies(d))
+    return R.ngram_attributes(d, R.top_classes(_rounded(R.c_value(f))), guards=f)
 
 
 @query("SELECT key, arg_min(form, (-n, form)) AS form FROM (SELECT lower(trim(regexp_replace(w, '\\s+', ' ', 'g'))) AS key, w AS form, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM documents) GROUP BY ALL) GROUP BY key")

@@ -100,7 +100,18 @@ def test_c_value_sends_no_pairs_of_terms(spark, terms):
     assert shuffled(spark, lambda: R.c_value(terms)) < 4 * chars
 
 
-@pytest.mark.parametrize("name", ["term_cvalue_top", "jn_nesting"])
+@pytest.mark.parametrize("name", ["term_cvalue_top", "jn_nesting", "agg_attributes"])
 def test_term_queries_send_little(spark, sf, name):
     chars = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
     assert shuffled(spark, lambda: Q.QUERIES[name](spark, sf)) < 3 * chars
+
+
+def test_attributes_equal_those_of_all_candidates(spark, sf):
+    docs = odd_docs(spark, sf)
+    f = R.ngram_frequencies(docs, least=2)
+    classes = spark.createDataFrame([(t,) for t in ("the", "of the", "x", "x x", "that", "k", "no such term")], "term string")
+    slow = R.attributes(R.ngrams(R.sentences(docs)), classes, 2, 10, guards=f)
+    fast = R.ngram_attributes(docs, classes, least=2, guards=f)
+    found = sorted(map(tuple, fast.collect()))
+    assert found == sorted(map(tuple, slow.select(fast.columns).collect())) and len({x[0] for x in found}) >= 4
+    assert R.ngram_attributes(docs, classes.limit(0)).count() == 0
