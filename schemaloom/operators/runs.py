@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Tokens and different words that a task holds at a time.
-CHUNK_TOKENS, CHUNK_WORDS = 1 << 22, 1 << 20
+CHUNK_TOKENS, CHUNK_WORDS = 1 << 21, 1 << 19
 #: Characters of text for each bucket.
-BUCKET_CHARS = 16_000_000
+BUCKET_CHARS = 10_000_000
 #: Records that a bucket holds before equal ones are put together.
-MERGE_RECORDS = 4_000_000
+MERGE_RECORDS = 1_000_000
 #: Texts of so many characters or more may end a chunk anywhere.
 LONG_CHARS = 1 << 20
 
