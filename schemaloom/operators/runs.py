@@ -2,9 +2,11 @@
 
 A task reads a stretch of tokens at a time and sends its distinct records, each once with its number: a record is a run of
 the longest kind, and stands for all shorter ones of three words or more that begin with it; runs of one and two words are
-records of their own. Records go to the bucket of their first three words, sorted, as numbers into the list of the words
-that stand in them, compressed; that is a few bytes for each token of the corpus, where a row for each run takes about
-twenty for each of four runs. Buckets are as many as the corpus needs to keep each small. All words are compared whole.
+records of their own. Records go to the bucket of their first three words, sorted, as numbers of words, compressed; that
+is a few bytes for each token of the corpus, where a row for each run takes about twenty for each of four runs. Buckets are
+as many as the corpus needs to keep each small. Common words have numbers that all tasks know; the others are listed with
+the records they stand in. Without the former, lists would repeat in every bucket, and grow faster than the corpus. Which
+words are common is a matter of size only: all records of all texts are sent, and all words are compared whole.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ CHUNK_TOKENS, CHUNK_WORDS = 1 << 21, 1 << 19
 BUCKET_CHARS = 10_000_000
 #: Records that a bucket holds before equal ones are put together.
 MERGE_RECORDS = 1_000_000
+#: Words that have numbers everywhere, at most, and their longest; they come from the beginnings of texts, about so many characters in all.
+COMMON_WORDS, COMMON_LENGTH, COMMON_CHARS, BEGINNING = 1 << 16, 32, 10_000_000, 10_000
 #: Texts of so many characters or more may end a chunk anywhere.
 LONG_CHARS = 1 << 20
 
@@ -34,10 +38,11 @@ _PACKED = "bucket int, rows long, list_size long, words binary, cells binary"
 
 
 class _Numbers(dict):
-    """Numbers of words from 1, in the order of their first use; 0 for white space, which ends a sentence."""
+    """Numbers of words from 1, common ones first, the others in the order of their first use; 0 for white space, which ends a sentence."""
 
-    def __init__(self):
-        self.words = [""]
+    def __init__(self, common: Sequence[str] = ()):
+        super().__init__(zip(common, range(1, len(common) + 1)))
+        self.words = ["", *common]
 
     def __missing__(self, word: str) -> int:
         if word[0] in " \t\n\x0b\f\r":
@@ -79,8 +84,8 @@ def _records(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate([p[0][k] for p in parts]) for k in range(len(cols))], np.concatenate([p[1] for p in parts])
 
 
-def _packed(cols: list[np.ndarray], n: np.ndarray, words: list[str], buckets: int) -> pa.RecordBatch:
-    """A row for each bucket that gets records."""
+def _packed(cols: list[np.ndarray], n: np.ndarray, words: list[str], buckets: int, common: int = 0) -> pa.RecordBatch:
+    """A row for each bucket that gets records. Numbers up to ``common`` stay; those above count through the row's word list."""
     name = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
     name[0] = 0
     mixed = np.zeros(len(n), np.uint64)
@@ -95,9 +100,11 @@ def _packed(cols: list[np.ndarray], n: np.ndarray, words: list[str], buckets: in
     cut = np.append(np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else [], len(to)).astype(np.int64)
     rows = []
     for a, b in zip(cut[:-1], cut[1:]):
-        used, local = np.unique(np.concatenate([c[a:b] for c in cols]), return_inverse=True)
+        cells = np.stack([*(c[a:b] for c in cols), n[a:b]]).astype(np.int32)
+        listed = cells[:-1] > common
+        used, local = np.unique(cells[:-1][listed], return_inverse=True)
+        cells[:-1][listed] = local + common + 1
         text = "\n".join([words[k] for k in used]).encode()
-        cells = np.concatenate([local.ravel(), n[a:b]]).astype(np.int32).reshape(len(cols) + 1, b - a)
         cells[0, 1:] -= cells[0, :-1].copy()
         planes = cells.view(np.uint8).reshape(len(cols) + 1, b - a, 4).transpose(0, 2, 1)
         rows.append((int(to[a]), int(b - a), len(text), pa.compress(text, "zstd", asbytes=True), pa.compress(planes.tobytes(), "zstd", asbytes=True)))
@@ -105,11 +112,11 @@ def _packed(cols: list[np.ndarray], n: np.ndarray, words: list[str], buckets: in
 
 
 def _unpacked(rows: int, width: int, list_size: int, words: bytes, cells: bytes) -> tuple[list[str], np.ndarray]:
-    """words, and a matrix of the record's numbers and, in its last row, how often it came."""
+    """listed words, and a matrix of the record's numbers and, in its last row, how often it came."""
     planes = np.frombuffer(pa.decompress(cells, (width + 1) * rows * 4, "zstd", asbytes=True), np.uint8).reshape(width + 1, 4, rows)
     got = planes.transpose(0, 2, 1).copy(order="C").view(np.int32).reshape(width + 1, rows)
     got[0] = np.cumsum(got[0])
-    return pa.decompress(words, list_size, "zstd", asbytes=True).decode().split("\n"), got
+    return pa.decompress(words, list_size, "zstd", asbytes=True).decode().split("\n") if list_size else [], got
 
 
 def _windows(ids: np.ndarray, longest: int, upto: int) -> list[np.ndarray]:
@@ -150,18 +157,19 @@ def after_columns(classes: list[str], longest: int) -> tuple[int, Callable]:
     return max(most + longest - 1, 0), columns
 
 
-def _sender(ahead: int, columns: Callable, buckets: int) -> Callable:
+def _sender(ahead: int, columns: Callable, buckets: int, common: Sequence[str] = ()) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, ids = _Numbers(), array("i")
+        numbers, ids = _Numbers(common), array("i")
+        most_words = CHUNK_WORDS + len(common)
 
         def flush(last: bool) -> pa.RecordBatch:
             """Records of the places whose following tokens are all here; the others stay for the next chunk."""
             nonlocal numbers, ids
             upto = len(ids) if last else max(len(ids) - ahead, 0)
             every = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)
-            made = _packed(*_records(columns(every, upto, numbers)), numbers.words, buckets)
+            made = _packed(*_records(columns(every, upto, numbers)), numbers.words, buckets, len(common))
             kept, words = every[upto:].tolist(), numbers.words
-            numbers, ids = _Numbers(), array("i")
+            numbers, ids = _Numbers(common), array("i")
             ids.extend(numbers[words[k]] if k else 0 for k in kept)
             return made
 
@@ -173,19 +181,19 @@ def _sender(ahead: int, columns: Callable, buckets: int) -> Callable:
                 else:
                     for m in _TOKEN.finditer(text):
                         ids.append(numbers[m.group()])
-                        if len(ids) >= CHUNK_TOKENS or len(numbers) >= CHUNK_WORDS:
+                        if len(ids) >= CHUNK_TOKENS or len(numbers) >= most_words:
                             yield flush(False)
                 ids.append(0)
-                if len(ids) >= CHUNK_TOKENS or len(numbers) >= CHUNK_WORDS:
+                if len(ids) >= CHUNK_TOKENS or len(numbers) >= most_words:
                     yield flush(False)
         yield flush(True)
 
     return send
 
 
-def _receiver(width: int, least: int) -> Callable:
+def _receiver(width: int, least: int, common: Sequence[str] = ()) -> Callable:
     def receive(table: pa.Table) -> pa.Table:
-        numbers = _Numbers()
+        numbers, own = _Numbers(), np.zeros(len(common) + 1, np.int32)  # own: this bucket's numbers of the common words it has
         held, counts, waiting = [np.zeros((width, 0), np.int32)], [np.zeros(0, np.int64)], 0
 
         def merge() -> tuple[list[np.ndarray], np.ndarray]:
@@ -197,7 +205,11 @@ def _receiver(width: int, least: int) -> Callable:
         for k in range(table.num_rows):
             row = [table.column(c)[k].as_py() for c in ("rows", "list_size", "words", "cells")]
             words, got = _unpacked(row[0], width, *row[1:])
-            here = np.fromiter((numbers[w] if w else 0 for w in words), np.int32, len(words))
+            there = np.zeros(len(common) + 1 + len(words), bool)
+            there[got[:width]] = True
+            new = np.flatnonzero(there[1 : len(common) + 1] & (own[1:] == 0))
+            own[new + 1] = [numbers[common[x]] for x in new.tolist()]
+            here = np.concatenate([own, np.fromiter((numbers[w] for w in words), np.int32, len(words))])
             held.append(here[got[:width]])
             counts.append(got[width].astype(np.int64))
             waiting += row[0]
@@ -232,8 +244,16 @@ def _receiver(width: int, least: int) -> Callable:
     return receive
 
 
+def _common(texts: DataFrame, chars: int) -> list[str]:
+    """Words that come more than once in the beginnings of some texts, the most frequent first."""
+    some = texts.sample(min(1.0, COMMON_CHARS / max(chars, 1)), 1).select(F.explode(F.split(F.lower(F.substring("text", 1, BEGINNING)), "[^a-z0-9]+")).alias("word"))
+    often = some.where(F.length("word").between(1, COMMON_LENGTH)).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return [r.word for r in often.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()]
+
+
 def counted_runs(texts: DataFrame, ahead: int, columns: Callable, width: int, least: int) -> DataFrame:
     """(head, tail, n_tokens, freq) of texts(text): the first word and the others of each run that comes ``least`` times."""
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    packed = texts.select(F.lower("text").alias("text")).mapInArrow(_sender(ahead, columns, 1 + chars // BUCKET_CHARS), _PACKED)
-    return packed.groupBy("bucket").applyInArrow(_receiver(width, least), "head string, tail string, n_tokens int, freq long")
+    common = _common(texts, chars)
+    packed = texts.select(F.lower("text").alias("text")).mapInArrow(_sender(ahead, columns, 1 + chars // BUCKET_CHARS, common), _PACKED)
+    return packed.groupBy("bucket").applyInArrow(_receiver(width, least, common), "head string, tail string, n_tokens int, freq long")

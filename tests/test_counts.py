@@ -74,6 +74,31 @@ def test_frequencies_send_less_than_the_texts_twice(spark, rare):
     assert shuffled(spark, lambda: R.ngram_frequencies(rare)) < 2 * chars
 
 
+def test_more_buckets_send_little_more(spark, rare, monkeypatch):
+    chars = rare.agg(F.sum(F.length("text"))).first()[0]
+    sent, found = [], []
+    for buckets in (2, 60):
+        monkeypatch.setattr(runs, "BUCKET_CHARS", chars // buckets)
+        sent.append(shuffled(spark, lambda: found.append(sorted(map(tuple, R.ngram_frequencies(rare).collect()))) or rare.limit(0)))
+    assert found[0] == found[1] and sent[1] < 1.25 * sent[0], sent
+
+
+@pytest.mark.parametrize("common", [[], ["b"], ["e", "zz", "a", "c"], list("abcde")])
+def test_common_words_change_no_count(monkeypatch, common):
+    monkeypatch.setattr(runs, "MERGE_RECORDS", 20)
+    monkeypatch.setattr(runs, "CHUNK_TOKENS", 40)
+    monkeypatch.setattr(runs, "CHUNK_WORDS", 4)
+    rng = random.Random(5)
+    sentences = [[rng.choice("abcde") for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    want = Counter(tuple(s[i : i + n]) for s in sentences for n in range(1, 5) for i in range(len(s) - n + 1))
+    sent = pa.Table.from_batches(runs._sender(*runs.ngram_columns(4), 5, common)(iter([pa.record_batch([[" ".join(s) for s in sentences]], ["text"])])))
+    got = Counter()
+    for bucket in set(sent["bucket"].to_pylist()):
+        for r in runs._receiver(4, 1, common)(sent.filter(pa.compute.equal(sent["bucket"], bucket))).to_pylist():
+            got[(r["head"], *r["tail"].split())] += r["freq"]
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def terms(spark, sf):
     path = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 100")
